@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, exact_dedup, fingerprints, langid, packing, quality, toxicity
+from tilewright.llm import bpe, exact_dedup, fingerprints, langid, lm, packing, quality, toxicity
 from tilewright.llm.common import documents, labels
 
 
@@ -35,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), labels(spark, sf_dir), folds=3, fold=1)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir), folds=5, fold=1)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), folds=4, fold=2)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
+    "op7_language_model": op7_language_model,
     "op8_language": op8_language,
 }
 
