@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, exact_dedup, fingerprints, langid, lm, packing, quality, toxicity
+from tilewright.llm import bpe, exact_dedup, fingerprints, langid, lm, ngram_join, packing, quality, toxicity
 from tilewright.llm.common import documents, labels
 
 
@@ -43,6 +43,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), folds=4, fold=2)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(documents(spark, sf_dir), threshold=0.8, words=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_language_model": op7_language_model,
     "op8_language": op8_language,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
