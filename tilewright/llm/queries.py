@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, exact_dedup, fingerprints, langid, lm, ngram_join, packing, quality, toxicity
+from tilewright.llm import bpe, exact_dedup, fingerprints, langid, line_dedup, lm, ngram_join, packing, quality, toxicity
 from tilewright.llm.common import documents, labels
 
 
@@ -47,6 +47,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(documents(spark, sf_dir), threshold=0.8, words=5)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decide(documents(spark, sf_dir), threshold=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_model": op7_language_model,
     "op8_language": op8_language,
     "op9_ngram_join": op9_ngram_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
