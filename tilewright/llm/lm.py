@@ -10,9 +10,9 @@ each order, is such that c(u) ** b, summed over all contexts, is the number of d
 state, takes arcs, or failure arcs until there is one, and adds the weights.
 
 At scale neither model nor texts fit one machine, and every count covers the whole corpus:
-  1. Where texts are read they become blocks of at most `BLOCK` tokens.  A block is written as word
-     numbers plus, for each shard of the 64-bit n-gram space, a packet: the sorted hashes of its
-     distinct n-grams and their counts in learning.
+  1. Where texts are read they become blocks of about `BLOCK` tokens, written as word numbers.  From
+     these comes, for each shard of the 64-bit n-gram space, a packet: the sorted hashes of the
+     block's distinct n-grams and their counts in learning.
   2. Each shard adds up its packets and answers each with the corpus totals, in the packet's order.
      Its sums of counts give N, V and the discounts.
   3. Each block, with its answers, builds the part of the automaton that its texts can reach, and
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import bucket_of, mix64, small_batches, text_bytes, written
 
-BLOCK = 6_000_000
+BLOCK = 3_000_000
 SHARD_BYTES = 16_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
@@ -82,32 +82,35 @@ class Block:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, words: np.ndarray, train: np.ndarray):
         """words: 64-bit hashes by number; lengths and train: of each document."""
         self.ids, self.lengths, self.words, self.train = ids, lengths, words, train
+        starts = np.cumsum(lengths) - lengths
         self.first = np.zeros(len(ids), bool)
-        self.first[np.cumsum(lengths) - lengths] = True
+        self.first[starts] = True
         #: Position within the document.
-        starts = np.cumsum(lengths) - lengths
-        self.place = np.arange(len(ids)) - np.repeat(starts, lengths)
+        self.place = (np.arange(len(ids)) - np.repeat(starts, lengths)).astype(np.int32)
 
-    def keys(self, order: int) -> list[np.ndarray]:
-        """For each n up to order, the n-gram that ends at each position, as a 64-bit key.
+    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each n up to order: (distinct n-grams as 64-bit keys, the number of the one that ends at each position).
 
-        A document's first word is preceded by a start; n-grams reaching before it are those of
-        the longest order that fits.
+        A document's first word is preceded by a start; where an n-gram would reach before it, the
+        number is -1.
         """
+        named = lambda keys, n: (keys & ~_ORDER_BITS) | np.uint64(n)
+        out = [(named(mix64(self.words), 1), self.ids)]
         h = self.words[self.ids]
-        out = [mix64(h)]
         before = np.r_[_START, h[:-1]]
         before[self.first] = _START
+        shorter = mix64(np.uint64(0x9E3779B97F4A7C15) + before)
         for n in range(2, order + 1):
-            shorter = out[-1]
-            context = mix64(np.uint64(0x9E3779B97F4A7C15) + before) if n == 2 else np.r_[np.uint64(0), shorter[:-1]]
-            longer = mix64(context * np.uint64(0xD1342543DE82EF95) + h)
-            longer[self.place < n - 2] = 0
-            out.append(longer)
-        return [np.where(k == 0, np.uint64(0), (k & ~_ORDER_BITS) | np.uint64(n + 1)) for n, k in enumerate(out)]
+            context = shorter if n == 2 else np.r_[np.uint64(0), shorter[:-1]]
+            shorter = mix64(context * np.uint64(0xD1342543DE82EF95) + h)
+            keys, number = np.unique(named(shorter, n), return_inverse=True)
+            number = number.astype(np.int32)
+            number[self.place < n - 2] = -1
+            out.append((keys, number))
+        return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Block, pa.Array, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Block, pa.Array]]:
     number: defaultdict[bytes, int] = defaultdict()
 
     def fresh() -> None:
@@ -121,11 +124,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Blo
     held: list[bool] = []
     size = 0
 
-    def done() -> tuple[Block, pa.Array, np.ndarray]:
+    def done() -> tuple[Block, pa.Array]:
         words = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
         words[0] = _END
-        out = np.array(held, bool)
-        return Block(np.concatenate(ids), np.array([len(x) for x in ids], np.int64), words, ~out), pa.array(doc_ids, pa.int64()), out
+        return Block(np.concatenate(ids), np.array([len(x) for x in ids], np.int64), words, ~np.array(held, bool)), pa.array(doc_ids, pa.int64())
 
     for batch in small_batches(batches):
         for doc_id, text, out in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["held_out"].to_pylist(), strict=True):
@@ -143,51 +145,50 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Blo
         yield done()
 
 
-_ROWS = "block long, shard int, keys binary, counts binary, docs binary"
-_NAMES = ["block", "shard", "keys", "counts", "docs"]
-
-
 def _edges(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's range of sorted keys begins, and the end."""
     cuts = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
     return np.r_[0, np.searchsorted(keys, cuts), len(keys)].astype(np.int64)
 
 
-def _distinct(block: Block, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(distinct keys, the number of each key of the orders end to end, those keys)."""
-    by_order = block.keys(order)
-    keys, inverse = np.unique(np.concatenate(by_order), return_inverse=True)
-    return keys, inverse, by_order
+_BLOCKS = "block long, doc_ids binary, lengths binary, train binary, ids binary, words binary"
 
 
-def _pack(shards: int, order: int, limit: int):
+def _to_blocks(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (block, doc_ids, _) in enumerate(_blocks(batches, limit)):
+        for k, (block, doc_ids) in enumerate(_blocks(batches, limit)):
             number = TaskContext.get().partitionId() << 32 | k
-            keys, inverse, _ = _distinct(block, order)
-            learned = np.tile(np.repeat(block.train, block.lengths), order)
-            counts = np.bincount(inverse[learned], minlength=len(keys)).astype(np.uint32)
-            at = _edges(keys, shards)
-            table = pa.table({"doc_id": doc_ids, "length": block.lengths, "train": block.train})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            docs = pa.table({"docs": [sink.getvalue().to_pybytes()], "ids": [_press(block.ids)], "words": [_press(block.words)]})
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, docs.schema) as out:
-                out.write_table(docs)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=_NAMES)
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())])) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([doc_ids], names=["doc_id"]))
+            row = [sink.getvalue().to_pybytes(), _press(block.lengths), _press(block.train.astype(np.uint8)), _press(block.ids), _press(block.words)]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in row)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+    return run
+
+
+def _read(row: dict) -> Block:
+    return Block(_unpress(row["ids"]), _unpress(row["lengths"]), _unpress(row["words"]), _unpress(row["train"]).astype(bool))
+
+
+_PACKETS = "block long, shard int, keys binary, counts binary"
+
+
+def _to_packets(shards: int, order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            row = batch.to_pylist()[0]
+            block = _read(row)
+            learned = np.repeat(block.train, block.lengths)
+            grams = block.grams(order)
+            keys = np.concatenate([k for k, _ in grams])
+            counts = np.concatenate([np.bincount(at[learned & (at >= 0)], minlength=len(k)) for k, at in grams]).astype(np.uint32)
+            rank = np.argsort(keys, kind="stable")
+            keys, counts = keys[rank], counts[rank]
+            at = _edges(keys, shards)
             spans = [(s, lo, hi) for s, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number] * len(spans), pa.int64()),
-                    pa.array([s for s, _, _ in spans], pa.int32()),
-                    pa.array([_press_sorted(keys[lo:hi]) for _, lo, hi in spans], pa.binary()),
-                    pa.array([_press(counts[lo:hi]) for _, lo, hi in spans], pa.binary()),
-                    pa.array([None] * len(spans), pa.binary()),
-                ],
-                names=_NAMES,
-            )
+            columns = [[row["block"]] * len(spans), [s for s, _, _ in spans], [_press_sorted(keys[lo:hi]) for _, lo, hi in spans], [_press(counts[lo:hi]) for _, lo, hi in spans]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "shard", "keys", "counts"])
 
     return run
 
@@ -230,48 +231,45 @@ class Weights:
 class Automaton:
     """The states and arcs that a block's n-grams reach.
 
-    arc[i]: log10 weight of the arc that distinct n-gram i is, nan if it was not learned;
-    arc_at[n][p]: the n+2-gram whose arc may be taken at position p, or -1;
-    fail[n][p]: weight of the failure arc of the n+1-word context before position p;
-    root[p]: weight of the root's arc for the word at p.
+    root[p]: weight of the root's arc for the word at p;
+    arc[n][i]: weight of the arc that the (n+2)-gram numbered i is; arc_at[n][p]: the number of
+    the one that may be taken at p, or -1 if it was not learned;
+    fail[n][p]: weight of the failure arc of the n+1-word context before p.
     """
 
-    def __init__(self, block: Block, totals: np.ndarray, inverse: np.ndarray, by_order: list[np.ndarray], w: Weights):
-        size, order = len(block.ids), len(by_order)
-        count = [totals[inverse[k * size : (k + 1) * size]].astype(np.float64) for k in range(order)]
-        for c, keys in zip(count, by_order, strict=True):
-            c[keys == 0] = 0
-        self.known = count[0] > 0
-        #: Occurrences, in learning, of the end: as many texts, so as many starts.
-        ends = count[0][np.cumsum(block.lengths) - 1]
-        starts = float(ends[0]) if len(ends) else 0.0
-        p = np.where(self.known, (count[0] - w.discount) / max(w.n, 1), w.unknown)
-        if w.discount >= 1 or not w.n:
-            p = np.where(self.known, np.maximum(p, 1e-300), w.unknown)
-        arc = np.full(len(totals), np.nan)
+    def __init__(self, block: Block, grams: list[tuple[np.ndarray, np.ndarray]], totals: list[np.ndarray], w: Weights):
+        """totals: for each order, the corpus count of each distinct n-gram of the block."""
+        words = totals[0].astype(np.float64)
+        seen = words > 0
+        p = np.where(seen, np.maximum(words - w.discount, 1e-9) / max(w.n, 1), w.unknown)[block.ids]
         self.root = np.log10(p)
-        self.fail, self.arc_at = [], []
-        for k in range(1, order):
-            context = np.r_[0.0, count[k - 1][:-1]]
+        # As many texts were learned as ends, so as many starts.
+        starts = float(words[0]) if len(words) else 0.0
+        self.arc, self.arc_at, self.fail = [], [], []
+        count = words[block.ids]
+        for k in range(1, len(grams)):
+            at = grams[k][1]
+            context = np.r_[0.0, count[:-1]]
             context[block.place < k] = starts if k == 1 else 0.0
             m = MASS * np.maximum(context, 1.0) ** w.power[k - 1]
             self.fail.append(np.log10(m / (context + m)))
-            p = (count[k] + m * p) / (context + m)
-            taken = count[k] > 0
+            count = np.where(at >= 0, totals[k].astype(np.float64)[at], 0.0)
+            p = (count + m * p) / (context + m)
+            taken = count > 0
             # An arc's weight is a property of its n-gram: it is set from any place that has it.
-            at = inverse[k * size : (k + 1) * size]
+            arc = np.zeros(len(totals[k]))
             arc[at[taken]] = np.log10(p[taken])
+            self.arc.append(arc)
             self.arc_at.append(np.where(taken, at, -1))
-        self.arc = arc
 
     def traverse(self) -> np.ndarray:
         """log10 probability of each token: failure arcs down from the longest context, then an arc."""
         out = self.root.copy()
         done = np.zeros(len(out), bool)
         fallen = np.zeros(len(out))
-        for at, fail in zip(reversed(self.arc_at), reversed(self.fail), strict=True):
+        for arc, at, fail in zip(reversed(self.arc), reversed(self.arc_at), reversed(self.fail), strict=True):
             here = ~done & (at >= 0)
-            out[here] = fallen[here] + self.arc[at[here]]
+            out[here] = fallen[here] + arc[at[here]]
             done |= here
             fallen += np.where(done, 0.0, fail)
         return np.where(done, out, fallen + out)
@@ -283,21 +281,23 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _score(order: int, w: Weights):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
-        blobs = [x for x in table["docs"].to_pylist() if x is not None]
-        box = pa.ipc.open_stream(blobs[0]).read_all()
-        docs = pa.ipc.open_stream(box["docs"][0].as_py()).read_all()
-        block = Block(_unpress(box["ids"][0].as_py()), docs["length"].to_numpy(), _unpress(box["words"][0].as_py()), docs["train"].to_numpy())
-        keys, inverse, by_order = _distinct(block, order)
-        totals = np.concatenate([_unpress(x).astype(np.uint64) for x in table["totals"].to_pylist() if x is not None])
-        if len(totals) != len(keys):
+        row = table.slice(0, 1).to_pylist()[0]
+        block = _read(row)
+        answers = [_unpress(x) for x in table["totals"].to_pylist()[1:]]
+        grams = block.grams(order)
+        sizes = np.cumsum([len(k) for k, _ in grams])
+        totals = np.empty(sizes[-1], np.uint64)
+        if sum(map(len, answers)) != len(totals):
             raise ValueError("a block's answers are not all there")
-        automaton = Automaton(block, totals, inverse, by_order, w)
+        totals[np.argsort(np.concatenate([k for k, _ in grams]), kind="stable")] = np.concatenate(answers)
+        by_order = np.split(totals, sizes[:-1])
         starts = np.cumsum(block.lengths) - block.lengths
         add = lambda x: np.add.reduceat(x, starts)
-        c = totals[inverse[: len(block.ids)]].astype(np.float64)
-        base = np.log10((c + 0.5) / (w.n + 0.5 * (w.v + 1)))
-        n = len(starts)
-        return pa.table({"doc_id": docs["doc_id"], "held_out": ~block.train, "n_tokens": block.lengths, "n_known": add(automaton.known.astype(np.int64)), "train_tokens": np.full(n, w.n, np.int64), "base_score": add(base), "score": add(automaton.traverse())})
+        known = (by_order[0] > 0).astype(np.int64)[block.ids]
+        base = np.log10((by_order[0].astype(np.float64) + 0.5) / (w.n + 0.5 * (w.v + 1)))[block.ids]
+        doc_ids = pa.ipc.open_stream(row["doc_ids"]).read_all()["doc_id"]
+        score = add(Automaton(block, grams, by_order, w).traverse())
+        return pa.table({"doc_id": doc_ids, "held_out": ~block.train, "n_tokens": block.lengths, "n_known": add(known), "train_tokens": np.full(len(starts), w.n, np.int64), "base_score": add(base), "score": score})
 
     return run
 
@@ -307,11 +307,12 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, order: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (bucket_of(F.col(id_col), folds) == fold).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    packed = written(rows.mapInArrow(_pack(shards, order, BLOCK), _ROWS), "lm-blocks")
-    answers = written(packed.where("shard >= 0").select("block", "shard", "keys", "counts").groupBy("shard").applyInArrow(_add_up(order), _TOTALS), "lm-totals")
+    blocks = written(rows.mapInArrow(_to_blocks(BLOCK), _BLOCKS), "lm-blocks")
+    packets = blocks.mapInArrow(_to_packets(shards, order), _PACKETS)
+    answers = written(packets.groupBy("shard").applyInArrow(_add_up(order), _TOTALS), "lm-totals")
     # One short row a shard.
     sums = [np.frombuffer(r["sums"]).reshape(order, -1) for r in answers.where("sums is not null").select("sums").toLocalIterator()]
     weights = Weights(np.sum(sums, axis=0) if sums else np.zeros((order, 4 + len(_POWERS))))
-    texts = packed.where("shard < 0").select("block", "shard", "docs", F.lit(None).cast("binary").alias("totals"))
-    found = answers.where("block is not null").select("block", "shard", F.lit(None).cast("binary").alias("docs"), "totals")
-    return texts.unionByName(found).groupBy("block").applyInArrow(_score(order, weights), _SCORES)
+    texts = blocks.withColumn("shard", F.lit(-1)).withColumn("totals", F.lit(None).cast("binary"))
+    found = answers.where("block is not null").select("block", "shard", "totals")
+    return texts.unionByName(found, allowMissingColumns=True).groupBy("block").applyInArrow(_score(order, weights), _SCORES)
