@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import bucket_of, mix64, small_batches, text_bytes, written
 
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 SHARD_BYTES = 16_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
