@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tilewright.plans.oracles import ORACLES
+from tilewright.plans.queries import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "lod_select"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
