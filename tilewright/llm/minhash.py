@@ -3,10 +3,11 @@
 Items are distinct contents, named by a 128-bit digest (node, low).  An item has a signature, one
 smallest hash for each of K hash functions, and keys: prefixes of K's parts.  Items with a key in
 common form a run.  Runs are walked as sorted streams: a member is compared, by signature, with the
-run's pivots only, is tied to each that is at least `low` alike, and becomes a pivot itself unless one
-is at least `cover` alike.  Two similar members then are tied through a pivot near one of
-them, so components of ties hold every pair that shares a key, and a run of g near copies costs g
-comparisons, not g * g.  Long runs are walked in parts, whose pivots meet in a second walk.
+run's pivots only, joins those that are at least `low` alike, and becomes a pivot itself unless one
+is at least `cover` alike.  Two similar members then are joined through a pivot near one of
+them, so components of ties hold the pairs that share a key.  A tie leaves the walk only where it joins
+what wasn't joined before, so a run of g members gives fewer than g.  Long runs are walked in
+parts, whose pivots meet in a second walk.
 
 Within a component all pairs are verified on exact sets of shingles.  Components up to `BLOCK`
 items are one task's; larger ones are cut into blocks and every pair of blocks is verified, so no task
@@ -29,7 +30,7 @@ from tilewright.llm.common import mix64, written
 from tilewright.llm.union_find import components, roots
 
 PART = 4096
-BLOCK = 1024
+BLOCK = 512
 BROADCAST_ROWS = 300_000
 
 
@@ -118,44 +119,71 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.r_[p // PART, np.zeros(len(second), np.int64)].astype(np.int32)), pa.array(np.r_[v, heads])], names=["key", "part", "node"])
 
 
+class _Walk:
+    """One run's pivots, and which of them are joined."""
+
+    def __init__(self, width: int):
+        self.names: list[int] = []
+        self.sigs = np.zeros((4, width), np.uint8)
+        self.label = np.zeros(4, np.int64)
+
+    def pivot(self, node: int, sig: np.ndarray) -> int:
+        n = len(self.names)
+        if n == len(self.sigs):
+            self.sigs = np.concatenate([self.sigs, np.zeros_like(self.sigs)])
+            self.label = np.concatenate([self.label, np.zeros_like(self.label)])
+        self.sigs[n], self.label[n] = sig, n
+        self.names.append(node)
+        return n
+
+    def alike(self, rows: np.ndarray) -> np.ndarray:
+        return np.stack([(rows == p).mean(axis=1) for p in self.sigs[: len(self.names)]], axis=1)
+
+    def join(self, node: int, near: np.ndarray) -> list[tuple[int, int]]:
+        """Ties for a member that is near some pivots: one to it, and one for each further group of pivots it joins."""
+        label = self.label[: len(self.names)]
+        groups, first = np.unique(label[near], return_index=True)
+        for g in groups[1:].tolist():
+            label[label == g] = groups[0]
+        return [(node, self.names[near[i]]) for i in first.tolist()]
+
+
 def _cover(low: float, cover: float):
     """Sorted (key, part, node, sig) rows to ties (a, b), and the pivots of parts of long runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, pivots, names, size = None, np.zeros((0, 0), np.uint8), [], 0
+        here, walk, size = None, None, 0
         out: list[tuple[int | None, int, int | None, bytes | None]] = []
 
         def done() -> None:
             if here is not None and (here[1] > 0 or size >= PART):
-                out.extend((here[0], name, None, pivot.tobytes()) for name, pivot in zip(names, pivots[: len(names)], strict=True))
+                out.extend((here[0], name, None, sig.tobytes()) for name, sig in zip(walk.names, walk.sigs, strict=False))
 
         for key, part, (nodes, sigs) in _streams(batches, ["node", "sig"]):
+            rows = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
             if (key, part) != here:
                 done()
-                here, names, size = (key, part), [], 0
-            rows = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+                here, walk, size = (key, part), _Walk(rows.shape[1]), 0
             size += len(nodes)
             at = 0
             while at < len(nodes):
-                if not names:
-                    pivots = np.zeros((4, rows.shape[1]), np.uint8)
-                    pivots[0] = rows[at]
-                    names.append(nodes[at])
+                if not walk.names:
+                    walk.pivot(nodes[at], rows[at])
                     at += 1
                     continue
-                # All that are left against the pivots so far, up to the next new pivot.
-                block = rows[at : at + 512]
-                alike = np.stack([(block == p).mean(axis=1) for p in pivots[: len(names)]], axis=1)
+                # The next ones against the pivots so far, up to the next that becomes one.
+                block = rows[at : at + 256]
+                alike = walk.alike(block)
                 alone = np.flatnonzero(alike.max(axis=1) < cover)
                 stop = int(alone[0]) + 1 if len(alone) else len(block)
-                for i, j in zip(*np.nonzero(alike[:stop] >= low), strict=True):
-                    if nodes[at + i] != names[j]:
-                        out.append((None, nodes[at + i], names[j], None))
-                if len(alone):
-                    if len(names) == len(pivots):
-                        pivots = np.concatenate([pivots, np.zeros_like(pivots)])
-                    pivots[len(names)] = block[stop - 1]
-                    names.append(nodes[at + stop - 1])
+                near = alike[:stop] >= low
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                    js = np.flatnonzero(near[i])
+                    if len(alone) and i == stop - 1:
+                        js = np.append(js, walk.pivot(nodes[at + i], block[i]))
+                    out.extend((None, a, b, None) for a, b in walk.join(nodes[at + i], js) if a != b)
+                if len(alone) and not near[stop - 1].any():
+                    walk.pivot(nodes[at + stop - 1], block[stop - 1])
                 at += stop
             if len(out) > 50_000:
                 yield _ties(out)
@@ -191,57 +219,105 @@ def candidate_components(items: DataFrame, low: float, cover: float) -> DataFram
     return components(ties)
 
 
-def intersections(sets: list[np.ndarray], light: int = 32) -> np.ndarray:
-    """Sizes of the intersections of all pairs.
+def shared(flat: np.ndarray, owner: np.ndarray, n: int, light: int = 16, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, size of the intersection), i < j, of the pairs of n sets that share anything.
 
-    Shingles in few sets are counted pair by pair; those in many are columns of a 0/1 matrix, which
-    times itself gives their share.
+    flat: members of all sets, owner: the set of each, ascending.  Members in few sets are counted
+    pair by pair, `chunk` pairs at a time; those in many are columns of a 0/1 matrix, which times
+    itself gives their share.
     """
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
     df = np.diff(np.r_[starts, len(flat)])
-    out = np.zeros(n * n, np.int64)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     few = (df > 1) & (df <= light)
-    for size in np.unique(df[few]).tolist():
-        rows = owner[starts[few & (df == size)][:, None] + np.arange(size)]
-        for i in range(size):
-            for j in range(i + 1, size):
-                out += np.bincount(rows[:, i] * n + rows[:, j], minlength=n * n)
-    out = out.reshape(n, n)
-    out += out.T
+    held, size = [], 0
+
+    def count() -> None:
+        nonlocal size
+        if held:
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            keys.append(k)
+            counts.append(c)
+            held.clear()
+            size = 0
+
+    for m in np.unique(df[few]).tolist():
+        at = starts[few & (df == m)]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, chunk // len(i))
+        for lo in range(0, len(at), step):
+            rows = owner[at[lo : lo + step, None] + np.arange(m)]
+            held.append((rows[:, i] * n + rows[:, j]).reshape(-1))
+            size += len(held[-1])
+            if size > chunk:
+                count()
+    count()
     many = np.flatnonzero(df > light)
-    for lo in range(0, len(many), 2048):
-        some = many[lo : lo + 2048]
-        x = np.zeros((n, len(some)), np.float32)
-        for column, k in enumerate(some.tolist()):
-            x[owner[starts[k] : starts[k] + df[k]], column] = 1
-        out += np.rint(x @ x.T).astype(np.int64)
-    return out
+    if len(many):
+        out = np.zeros((n, n), np.int32)
+        for lo in range(0, len(many), 1024):
+            some = many[lo : lo + 1024]
+            x = np.zeros((n, len(some)), np.float32)
+            for column, k in enumerate(some.tolist()):
+                x[owner[starts[k] : starts[k] + df[k]], column] = 1
+            out += np.rint(x @ x.T).astype(np.int32)
+        k = np.flatnonzero(np.triu(out, 1))
+        keys.append(k)
+        counts.append(out.reshape(-1)[k].astype(np.int64))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key // n, key % n, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+_VERIFY = "node long, low long, links long, root long"
 
 
 def _verify(shingles: Callable[[list[str]], list[np.ndarray]], threshold: float):
-    def run(table: pa.Table) -> pa.Table:
+    """Rows sorted by (root, i, j) to links and local roots; many small groups are verified together."""
+    columns = ["root", "i", "j", "block", "node", "low", "weight"]
+
+    def judge(rows: list[np.ndarray], z: list[bytes]) -> pa.RecordBatch:
         unpack = zstandard.ZstdDecompressor().decompress
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        table = table.sort_by([("block", "ascending"), ("node", "ascending"), ("low", "ascending")])
-        sets = shingles([unpack(z).decode() for z in table["z"].to_pylist()])
-        block, weight = table["block"].to_numpy(), table["weight"].to_numpy()
+        root, i, j, block, node, low, weight = (np.concatenate([r[k] for r in rows]) for k in range(len(columns)))
+        order = np.lexsort((low, node, block, j, i, root))
+        root, i, j, block, node, low, weight = (c[order] for c in (root, i, j, block, node, low, weight))
+        n = len(root)
+        group = np.cumsum(np.r_[0, (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        sets = shingles([unpack(z[k]).decode() for k in order.tolist()])
         size = np.array([len(s) for s in sets])
-        both = intersections(sets)
-        alike = both >= threshold / (1 + threshold) * (size[:, None] + size[None, :]) - 1e-9
-        alike &= both > 0
-        np.fill_diagonal(alike, False)
-        if i != j:
-            alike &= block[:, None] != block[None, :]
-        links = alike @ weight
-        a, b = np.nonzero(np.triu(alike))
-        root = roots(a, b, len(sets))
-        node = table["node"].to_numpy()
-        return pa.table({"node": table["node"], "low": table["low"], "links": pa.array(links.astype(np.int64)), "root": pa.array(node[root])})
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+        # A group's shingles are its own.
+        flat = flat ^ mix64(group[owner].astype(np.uint64) + np.uint64(1))
+        a, b, both = shared(flat, owner, n)
+        alike = both >= threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9
+        alike &= (group[a] == group[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+        a, b = a[alike], b[alike]
+        links = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(low), pa.array(np.rint(links).astype(np.int64)), pa.array(node[roots(a, b, n)])], names=["node", "low", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list[np.ndarray]] = []
+        z: list[bytes] = []
+        last, size = None, 0
+        for batch in batches:
+            part = [batch[c].to_numpy().astype(np.int64) for c in columns]
+            texts = batch["z"].to_pylist()
+            cut = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                here = (part[0][lo], part[1][lo], part[2][lo])
+                # Only whole groups are judged; one has at most two blocks of rows.
+                if here != last and size and size + (hi - lo) > BLOCK:
+                    yield judge(rows, z)
+                    rows, z, size = [], [], 0
+                last = here
+                rows.append([c[lo:hi] for c in part])
+                z += texts[lo:hi]
+                size += hi - lo
+        if size:
+            yield judge(rows, z)
 
     return run
 
@@ -256,7 +332,8 @@ def verified(items: DataFrame, shingles: Callable[[list[str]], list[np.ndarray]]
     rows = items.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", "low"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("root", "node", "low", "weight", "z", "block", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    found = written(rows.groupBy("root", "i", "j").applyInArrow(_verify(shingles, threshold), "node long, low long, links long, root long"), "verified")
+    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    found = written(dealt.mapInArrow(_verify(shingles, threshold), _VERIFY), "verified")
     final = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node", "low").agg(F.sum("links").alias("links"))
     return links.join(final, "node", "left").select("node", "low", "links", F.coalesce("root", "node").alias("root"))

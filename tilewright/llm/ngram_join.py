@@ -30,7 +30,7 @@ from tilewright.llm.minhash import Hashes, candidate_components, depth_for, pref
 WORDS = 5
 THRESHOLD = 0.8
 TREES, LONGEST, TARGET = 24, 8, 0.999
-_KEEP = 400_000
+_KEEP = 200_000
 
 
 class WordShingles:
@@ -107,7 +107,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = written(rows.mapInArrow(_features(words, trees, depth), "doc_id long, node long, low long, keys array<long>, sig binary, z binary"), "join-features")
     classes = written(features.groupBy("node", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "join-classes")
-    tied = written(candidate_components(features.select("node", "keys", "sig"), 0.45, 0.85), "join-candidates")
+    tied = written(candidate_components(features.select("node", "keys", "sig"), 0.4, 0.75), "join-candidates")
     chosen = features.where("z is not null").select("node", "low", "z").join(small_or_shuffled(tied), "node").dropDuplicates(["node", "low"])
     items = chosen.join(classes.select("node", "low", F.col("n").alias("weight")), ["node", "low"])
     found = written(verified(items.select("root", "node", "low", "weight", "z"), WordShingles(words), threshold), "join-links")
