@@ -44,9 +44,9 @@ def hosted_asset(docs: DataFrame) -> DataFrame:
     """Endpoint documents (doc) to url, token, kind and attributions without tags; blank ones are dropped."""
     d = F.from_json("doc", _ASSET)
     external = F.nullif(d["externalType"], F.lit(""))
-    url = F.regexp_replace(F.when(external.isNotNull(), F.coalesce(d["options.url"], F.lit(""))).otherwise(d["url"]), "/+$", "")
+    url = F.regexp_replace(F.when(external.isNotNull(), F.coalesce(d["options"]["url"], F.lit(""))).otherwise(d["url"]), "/+$", "")
     credits = F.filter(F.transform(F.coalesce(d["attributions"], F.array()), lambda a: strip_html(F.coalesce(a["html"], F.lit("")))), lambda t: t != "")
-    return docs.select(d["type"].alias("type"), url.alias("url"), F.when(external.isNull(), d["accessToken"]).alias("token"), external.alias("external"), d["options.key"].alias("key"), credits.alias("attributions"))
+    return docs.select(d["type"].alias("type"), url.alias("url"), F.when(external.isNull(), d["accessToken"]).alias("token"), external.alias("external"), d["options"]["key"].alias("key"), credits.alias("attributions"))
 
 
 def tileset_root(url: Column, hosted: Column, external_key: Column) -> Column:
