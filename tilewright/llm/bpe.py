@@ -32,7 +32,7 @@ from tilewright.llm.mph import PerfectHash
 
 #: How a text is split before merging (the public pattern of this vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEEP = 300_000
+KEEP = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,35 +114,37 @@ class BytePairEncoder:
         return [x for x in ids if x >= 0]
 
     def _learn(self, matches: set[str]) -> None:
-        """Answers for matches that no generation has."""
-        if len(self.new) + len(matches) > self.keep:
+        """Answers for all these matches in the newer generation."""
+        todo = [x for x in matches if x not in self.new]
+        if len(self.new) + len(todo) > self.keep:
             self.old, self.new = self.new, {}
-        todo = []
-        for x in matches:
-            if x in self.new:
-                continue
-            if x in self.old:
-                self.new[x] = self.old[x]
-            else:
-                todo.append(x)
-        if not todo:
-            return
-        raw = [x.encode() for x in todo]
-        for x, item, i in zip(todo, raw, self.whole(raw).tolist(), strict=True):
-            ids = [i] if i >= 0 else self.merged(item)
-            self.new[x] = (" ".join(map(str, ids)), len(ids), b"".join([self.token_of[j] for j in ids]))
-
-    def answers(self, matches: list[str]) -> list[tuple[str, int, bytes]]:
-        get = self.new.get
-        found = [get(x) for x in matches]
-        if None in found:
-            self._learn(set(matches))
-            get = self.new.__getitem__
-            found = [get(x) for x in matches]
-        return found
+            todo = list(matches)
+        known = [x for x in todo if x in self.old]
+        self.new.update((x, self.old[x]) for x in known)
+        if len(known) < len(todo):
+            fresh = [x for x in todo if x not in self.old] if known else todo
+            raw = [x.encode() for x in fresh]
+            text, token = str, self.token_of
+            for x, item, i in zip(fresh, raw, self.whole(raw).tolist(), strict=True):
+                if i >= 0:
+                    self.new[x] = (text(i), 1, item)
+                else:
+                    ids = self.merged(item)
+                    self.new[x] = (" ".join(map(text, ids)), len(ids), b"".join([token[j] for j in ids]))
+
+    def answers(self, many: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
+        """For each text, the answers for its matches; new matches of all texts are looked up together."""
+        split = [self.find(text) for text in many]
+        every: set[str] = set()
+        for matches in split:
+            every.update(matches)
+        self._learn(every)
+        get = self.new.__getitem__
+        for matches in split:
+            yield list(map(get, matches))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.answers(self.find(text)) for i in ids.split()]
+        return [int(i) for ids, _, _ in next(self.answers([text])) for i in ids.split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.token_of[i] for i in ids])
@@ -172,10 +174,9 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in small_batches(batches, 256):
+        for batch in small_batches(batches, 512):
             counts, ids, decoded = [], [], []
-            for text in texts(batch["text"]):
-                found = bpe.answers(bpe.find(text))
+            for found in bpe.answers(texts(batch["text"])):
                 counts.append(sum([x[1] for x in found]))
                 ids.append(sha(" ".join([x[0] for x in found]).encode()))
                 decoded.append(sha(b"".join([x[2] for x in found])))
