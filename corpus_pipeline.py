@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import exact_dedup, langid, ngram_join, packing, toxicity
-from tilewright.llm.common import documents, labels, written
+from tilewright.llm.common import documents, labels, release, tables, written
 from tilewright.llm.minhash import small_or_shuffled
 
 #: A text this unlike every language's profile (0: entirely) is in none of them.
@@ -69,7 +69,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, mark = documents(spark, sf_dir), tables()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, docs, since=mark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from helpers import table
 from pyspark.sql import functions as F
 from test_operators import _link_by_hand, _words5
 
-from tilewright.llm.common import written
+from tilewright.llm.common import tables, written
 
 
 @pytest.fixture(scope="module")
@@ -85,11 +85,6 @@ def test_packed(stages):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
-def test_run_is_the_stages(spark, sf):
-    got = corpus_pipeline.run(spark, sf)
-    assert got.count() > 0 and "sequence_id" in got.columns
-
-
 def test_rows_repeated_with_one_id(spark, sf):
     docs = table(spark, ["same text of one id"] * 2 + ["other words"], ids=[7, 7, 8])
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()) == [7, 8]
@@ -101,3 +96,11 @@ def test_empty_table(spark, sf):
         after = stage(spark, docs, sf)
         assert after.count() == 0
         docs = docs if stage is corpus_pipeline.pack else after
+
+
+def test_run_is_the_stages(spark, sf):
+    mark = tables()
+    got = corpus_pipeline.run(spark, sf)
+    assert got.count() > 0 and "sequence_id" in got.columns
+    # Of all that the stages wrote only the last input and what packing reads are left.
+    assert tables() - mark == 2

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._tilewright_table = path
+    return out
+
+
+def tables() -> int:
+    """How many tables written() has made and not released: a mark for release()."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, *but: DataFrame, since: int = 0) -> None:
+    """Deletes the tables that written() made after a mark, but those given; frames that read them are void."""
+    kept = {getattr(df, "_tilewright_table", None) for df in but}
+    jvm = spark.sparkContext._jvm
+    for path in [p for p in _tables[since:] if p not in kept]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _tables.remove(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
