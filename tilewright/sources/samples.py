@@ -47,7 +47,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _content(k: int) -> tuple[str, bytes]:
-    chunk = json.dumps({"extensions": {"CESIUM_RTC": {"center": [k, 0, 0]}}} if k % 2 else {}).encode()
+    chunk = json.dumps({"extensions": {"VENDOR_RTC": {"center": [k, 0, 0]}}} if k % 2 else {}).encode()
     chunk += b" " * (-len(chunk) % 4)
     glb = b"glTF" + struct.pack("<II", 2, 20 + len(chunk)) + struct.pack("<I", len(chunk)) + b"JSON" + chunk
     b3dm = b"b3dm" + struct.pack("<6I", 1, 28 + len(glb), 0, 0, 0, 0) + glb
