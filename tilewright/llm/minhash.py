@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import mix64, written
 from tilewright.llm.union_find import components, roots
 
+#: Texts to the shingles of all, one text after another, and where each begins.
+Shingles = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 PART = 4096
 BLOCK = 512
 BROADCAST_ROWS = 300_000
@@ -159,7 +161,23 @@ def _cover(low: float, cover: float):
             if here is not None and (here[1] > 0 or size >= PART):
                 out.extend((here[0], name, None, sig.tobytes()) for name, sig in zip(walk.names, walk.sigs, strict=False))
 
-        for key, part, (nodes, sigs) in _streams(batches, ["node", "sig"]):
+        def pairs() -> Iterator[pa.RecordBatch]:
+            """The batches without the runs of two that lie in one batch whole, which are judged at once."""
+            for batch in batches:
+                key, part, node = (batch[c].to_numpy() for c in ("key", "part", "node"))
+                edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
+                # Not the first and last run, which may go on in other batches, nor parts of longer runs.
+                two = edge[1:-2][np.diff(edge)[1:-1] == 2] if len(edge) > 3 else edge[:0]
+                two = two[part[two] == 0]
+                if len(two):
+                    sig = np.frombuffer(b"".join(batch["sig"].take(pa.array(np.r_[two, two + 1])).to_pylist()), np.uint8).reshape(2, len(two), -1)
+                    near = two[(sig[0] == sig[1]).mean(axis=1) >= low]
+                    out.extend((None, a, b, None) for a, b in zip(node[near].tolist(), node[near + 1].tolist(), strict=True))
+                rest = np.ones(len(key), bool)
+                rest[two] = rest[two + 1] = False
+                yield batch.filter(pa.array(rest)) if len(two) else batch
+
+        for key, part, (nodes, sigs) in _streams(pairs(), ["node", "sig"]):
             rows = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
             if (key, part) != here:
                 done()
@@ -219,15 +237,18 @@ def candidate_components(items: DataFrame, low: float, cover: float) -> DataFram
     return components(ties)
 
 
-def shared(flat: np.ndarray, owner: np.ndarray, n: int, light: int = 16, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, size of the intersection), i < j, of the pairs of n sets that share anything.
+def shared(flat: np.ndarray, owner: np.ndarray, n: int, light: int = 16, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of n sets; i, j, size of the intersection, i < j, of the pairs that share anything).
 
-    flat: members of all sets, owner: the set of each, ascending.  Members in few sets are counted
-    pair by pair, `chunk` pairs at a time; those in many are columns of a 0/1 matrix, which times
-    itself gives their share.
+    flat: members of all sets, repeats allowed, owner: the set of each, ascending.  Members in few
+    sets are counted pair by pair, `chunk` pairs at a time; those in many are columns of a 0/1 matrix,
+    which times itself gives their share.
     """
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    once = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])] if len(flat) else np.zeros(0, bool)
+    flat, owner = flat[once], owner[once]
+    sizes = np.bincount(owner, minlength=n)
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
     df = np.diff(np.r_[starts, len(flat)])
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -267,13 +288,13 @@ def shared(flat: np.ndarray, owner: np.ndarray, n: int, light: int = 16, chunk:
         keys.append(k)
         counts.append(out.reshape(-1)[k].astype(np.int64))
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key // n, key % n, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    return sizes, key // n, key % n, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
 
 _VERIFY = "node long, low long, links long, root long"
 
 
-def _verify(shingles: Callable[[list[str]], list[np.ndarray]], threshold: float):
+def _verify(shingles: Shingles, threshold: float):
     """Rows sorted by (root, i, j) to links and local roots; many small groups are verified together."""
     columns = ["root", "i", "j", "block", "node", "low", "weight"]
 
@@ -284,12 +305,11 @@ def _verify(shingles: Callable[[list[str]], list[np.ndarray]], threshold: float)
         root, i, j, block, node, low, weight = (c[order] for c in (root, i, j, block, node, low, weight))
         n = len(root)
         group = np.cumsum(np.r_[0, (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        sets = shingles([unpack(z[k]).decode() for k in order.tolist()])
-        size = np.array([len(s) for s in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+        flat, starts = shingles([unpack(z[k]).decode() for k in order.tolist()])
+        owner = np.repeat(np.arange(n), np.diff(np.r_[starts, len(flat)]))
         # A group's shingles are its own.
         flat = flat ^ mix64(group[owner].astype(np.uint64) + np.uint64(1))
-        a, b, both = shared(flat, owner, n)
+        size, a, b, both = shared(flat, owner, n)
         alike = both >= threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9
         alike &= (group[a] == group[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
         a, b = a[alike], b[alike]
@@ -322,7 +342,7 @@ def _verify(shingles: Callable[[list[str]], list[np.ndarray]], threshold: float)
     return run
 
 
-def verified(items: DataFrame, shingles: Callable[[list[str]], list[np.ndarray]], threshold: float) -> DataFrame:
+def verified(items: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
     """(node, low, links, root) of items (root, node, low, weight, z), all pairs within a root compared exactly.
 
     z is the item's text, compressed; links the summed weight of the other items at least

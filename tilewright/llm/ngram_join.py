@@ -58,8 +58,9 @@ class WordShingles:
             out = mix64(out + np.uint64(i)) + h[i : len(h) - n + 1 + i]
         return np.unique(mix64(out + np.uint64(n)))
 
-    def __call__(self, many: list[str]) -> list[np.ndarray]:
-        return [self.of(x) for x in many]
+    def __call__(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sets = [self.of(x) for x in many]
+        return np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
 
 
 def _features(words: int, trees: int, depth: int):
@@ -107,7 +108,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = written(rows.mapInArrow(_features(words, trees, depth), "doc_id long, node long, low long, keys array<long>, sig binary, z binary"), "join-features")
     classes = written(features.groupBy("node", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "join-classes")
-    tied = written(candidate_components(features.select("node", "keys", "sig"), 0.4, 0.75), "join-candidates")
+    tied = written(candidate_components(features.select("node", "keys", "sig"), 0.4, 0.85), "join-candidates")
     chosen = features.where("z is not null").select("node", "low", "z").join(small_or_shuffled(tied), "node").dropDuplicates(["node", "low"])
     items = chosen.join(classes.select("node", "low", F.col("n").alias("weight")), ["node", "low"])
     found = written(verified(items.select("root", "node", "low", "weight", "z"), WordShingles(words), threshold), "join-links")
