@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.text import is_tileset_uri
+
 #: Seconds until the first, second and third retry; after that a tile is dead.
 BACKOFF = (1.0, 4.0, 15.0)
 BREAKER_FAILURES = 8
@@ -114,3 +116,30 @@ def need_select(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def sweep_unused(blocks: DataFrame, users: DataFrame, key: str) -> DataFrame:
     """Data blocks that nothing uses any more."""
     return blocks.join(users.select(key).distinct(), key, "left_anti")
+
+
+def requeue_stale(tiles: DataFrame, now: float, older: float = 60.0) -> DataFrame:
+    """Decoded tiles (decoded_at) that were not built in time go back to the queue."""
+    stale = (F.col("state") == "decoded") & (now - F.col("decoded_at") > older)
+    return tiles.withColumn("state", F.when(stale, "queued").otherwise(F.col("state")))
+
+
+def build_batch(decoded: DataFrame, most: int = 3) -> DataFrame:
+    """The decoded tiles to build in one tick, oldest first (one for models, three for terrain)."""
+    return decoded.where("state = 'decoded'").orderBy("decoded_at", "z", "x", "y").limit(most)
+
+
+def after_graft(nodes: DataFrame) -> DataFrame:
+    """Grafted nodes that can now be drawn are fetched, with no failures counted; others are done."""
+    drawable = (F.coalesce("uri", F.lit("")) != "") & ~is_tileset_uri(F.col("uri"))
+    return nodes.withColumn("state", F.when(drawable, "queued").otherwise("built")).withColumn("retries", F.when(drawable, 0).otherwise(F.col("retries")))
+
+
+def accept(results: DataFrame, generation: int) -> DataFrame:
+    """Results of the current generation; late ones are dropped."""
+    return results.where(F.col("generation") == generation)
+
+
+def camera_signature(matrix: Column, width: Column, height: Column) -> Column:
+    """Equal for views that agree to nine decimals."""
+    return F.xxhash64(F.transform(matrix, lambda v: F.round(v, 9) + F.lit(0.0)), width, height)

@@ -100,3 +100,13 @@ def read_through(wanted: DataFrame, cache: DataFrame, **how) -> DataFrame:
     """(url, outcome, content): from the cache (url, content) where it has them, fetched otherwise."""
     have = wanted.select("url").distinct().join(cache.select("url", "content"), "url").select("url", F.lit("ok").alias("outcome"), "content")
     return have.unionByName(fetch(wanted.select("url").join(cache.select("url"), "url", "left_anti"), **how))
+
+
+def fetch_json(wanted: DataFrame, cache: DataFrame, **how) -> DataFrame:
+    """(url, name, outcome, doc): documents from the cache or fetched; what isn't JSON is an http error and not to be kept.
+
+    name is the content's place in a cache, the hash of its url.
+    """
+    got = read_through(wanted, cache, **how).withColumn("doc", F.decode("content", "UTF-8"))
+    valid = F.try_parse_json("doc").isNotNull()
+    return got.select("url", F.sha1("url").alias("name"), F.when((F.col("outcome") == "ok") & ~F.coalesce(valid, F.lit(False)), "http").otherwise(F.col("outcome")).alias("outcome"), F.when(valid, F.col("doc")).alias("doc"))
