@@ -41,40 +41,62 @@ def ancestors(tiles: DataFrame, own: bool = True, least: int = 0) -> DataFrame:
     return rows.withColumn("ax", geo.shift_right(F.col("x"), by)).withColumn("ay", geo.shift_right(F.col("y"), by))
 
 
+def _deepest(found: DataFrame, key: list[str]) -> DataFrame:
+    """The deepest of each key's rows (key, z, x, y of the tile, az): the level decides, so only numbers are aggregated."""
+    best = found.groupBy(*key).agg(F.max("az").alias("az"), *(F.first(c).alias(c) for c in ("z", "x", "y")))
+    by = F.col("z") - F.col("az")
+    return best.select(*key, "az", geo.shift_right(F.col("x"), by).alias("ax"), geo.shift_right(F.col("y"), by).alias("ay"))
+
+
 def nearest_real_ancestor(tiles: DataFrame, rects: DataFrame, key: list[str]) -> DataFrame:
     """The deepest ancestor (or self) of each tile, named by key, that is available."""
-    up = ancestors(tiles).select(*key, F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y"))
-    found = available(up, rects)
-    best = F.max(F.struct("z", "x", "y")).alias("best")
-    return found.groupBy(*key).agg(best).select(*key, F.col("best.z").alias("az"), F.col("best.x").alias("ax"), F.col("best.y").alias("ay"))
+    own = [F.col(c).alias(f"__{c}") for c in "zxy"]
+    up = ancestors(tiles).select(*key, *own, F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    found = available(up, rects).select(*key, F.col("z").alias("az"), *(F.col(f"__{c}").alias(c) for c in "zxy"))
+    return _deepest(found, key)
 
 
 def imagery_fallback(tiles: DataFrame, existing: DataFrame, key: list[str], max_z: int = geo.IMAGERY_MAX_Z) -> DataFrame:
     """The deepest ancestor, at most at max_z, whose image exists (z, x, y); as-of join up the tree."""
     up = ancestors(tiles).where(F.col("az") <= max_z)
-    have = existing.select(F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
-    best = up.join(have, ["az", "ax", "ay"]).groupBy(*key).agg(F.max(F.struct("az", "ax", "ay")).alias("b"))
-    return best.select(*key, "b.az", "b.ax", "b.ay")
+    have = existing.select(F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    return _deepest(up.join(have, ["az", "ax", "ay"], "left_semi").select(*key, "az", "z", "x", "y"), key)
 
 
-def covers(tiles: DataFrame, min_m: int = 0, max_m: int = 19, overzoom: int = 0) -> DataFrame:
-    """All mercator grids (m, tx0, ty0, tx1, ty1) that cover a tile with few enough cells."""
-    z = F.col("z").cast("int")
-    west, south, east, north = geo.tile_rect(F.col("z"), F.col("x"), F.col("y"))
-    x0, y0 = geo.mercator(west, south)
-    x1, y1 = geo.mercator(east, north)
-    cap = F.least(z + 1 + overzoom, F.lit(max_m))
-    rows = tiles.withColumn("m", F.explode(F.when(cap >= min_m, F.sequence(F.lit(min_m), cap)).otherwise(F.array().cast("array<int>"))))
-    n = geo.rows_at(F.col("m"))
+def _cells(m, span, overzoom: int):
+    """First and last cell of a level m that a span touches, and whether they are few enough."""
+    (x0, y0), (x1, y1) = span
+    n = geo.rows_at(m)
     at = lambda v, e: F.least(((v + e) * n).cast("long"), n - 1)
-    rows = rows.select("*", at(x0, 1e-9).alias("tx0"), at(y0, 1e-9).alias("ty0"), at(x1, -1e-9).alias("tx1"), at(y1, -1e-9).alias("ty1"))
-    return rows.where((F.col("tx1") - F.col("tx0") < (1 << overzoom)) & (F.col("ty1") - F.col("ty0") < (2 << overzoom)))
+    cells = [at(x0, 1e-9), at(y0, 1e-9), at(x1, -1e-9), at(y1, -1e-9)]
+    return cells, (cells[2] - cells[0] < (1 << overzoom)) & (cells[3] - cells[1] < (2 << overzoom))
 
 
-def mercator_cover(tiles: DataFrame, key: list[str], **limits: int) -> DataFrame:
-    """The deepest cover of each tile."""
-    best = covers(tiles, **limits).groupBy(*key).agg(F.max(F.struct("m", "tx0", "ty0", "tx1", "ty1")).alias("c"))
-    return best.select(*key, "c.*")
+def _span():
+    west, south, east, north = geo.tile_rect(F.col("z"), F.col("x"), F.col("y"))
+    return geo.mercator(west, south), geo.mercator(east, north)
+
+
+def _levels(min_m: int, max_m: int, overzoom: int):
+    cap = F.least(F.col("z").cast("int") + 1 + overzoom, F.lit(max_m))
+    return F.when(cap >= min_m, F.sequence(F.lit(min_m), cap)).otherwise(F.array().cast("array<int>"))
+
+
+def covers(tiles: DataFrame, min_m: int = 0, max_m: int = 19, overzoom: int = 0) -> DataFrame:
+    """All mercator grids (m, tx0, ty0, tx1, ty1) that cover a tile with few enough cells."""
+    rows = tiles.withColumn("m", F.explode(_levels(min_m, max_m, overzoom)))
+    cells, fits = _cells(F.col("m"), _span(), overzoom)
+    return rows.where(fits).select("*", *(c.alias(n) for c, n in zip(cells, ("tx0", "ty0", "tx1", "ty1"), strict=True)))
+
+
+def mercator_cover(tiles: DataFrame, key: list[str], min_m: int = 0, max_m: int = 19, overzoom: int = 0) -> DataFrame:
+    """The deepest cover of each tile that has one, found within its row: nothing is shuffled."""
+    (x0, y0), (x1, y1) = _span()
+    rows = tiles.select("*", x0.alias("__x0"), y0.alias("__y0"), x1.alias("__x1"), y1.alias("__y1"))
+    span = (F.col("__x0"), F.col("__y0")), (F.col("__x1"), F.col("__y1"))
+    rows = rows.withColumn("m", F.array_max(F.filter(_levels(min_m, max_m, overzoom), lambda m: _cells(m, span, overzoom)[1]))).where("m is not null")
+    cells, _ = _cells(F.col("m"), span, overzoom)
+    return rows.select(*key, "m", *(c.alias(n) for c, n in zip(cells, ("tx0", "ty0", "tx1", "ty1"), strict=True)))
 
 
 def cover_cells(cover: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ VALVE_TILES, VALVE_FACTOR, VALVE_PASSES = 400, 1.5, 4
 def tile_boxes(tiles: DataFrame, frame: geo.Frame, n: int = 5, low: float = -1000.0, high: float = 9000.0) -> DataFrame:
     """Adds a box (lo_x .. hi_z) in the local frame around each tile, padded by the globe's bulge.
 
-    An n x n grid at two heights for each tile; its minima and maxima need no shuffle of samples,
-    for they are combined where they are made.
+    An n x n grid at two heights for each row; minima and maxima are combined where the samples are
+    made, and the row's other columns go along as keys, so nothing is joined back.  Equal rows count once.
     """
     west, south, east, north = geo.tile_rect(F.col("z"), F.col("x"), F.col("y"))
-    return _boxes(tiles.select("z", "x", "y").distinct(), ["z", "x", "y"], west, south, east, north, F.lit(low), F.lit(high), frame, n).join(tiles, ["z", "x", "y"])
+    return _boxes(tiles, tiles.columns, west, south, east, north, F.lit(low), F.lit(high), frame, n)
 
 
 def _boxes(rows: DataFrame, key: list[str], west, south, east, north, low, high, frame: geo.Frame, n: int) -> DataFrame:
