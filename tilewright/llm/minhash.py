@@ -348,8 +348,11 @@ def verified(items: DataFrame, shingles: Shingles, threshold: float) -> DataFram
     z is the item's text, compressed; links the summed weight of the other items at least
     `threshold` alike; root now the final component's smallest node (its own if it has no link).
     """
-    sizes = items.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = items.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", "low"), F.col("blocks")).cast("int"))
+    items = written(items, "items")
+    # Components of several blocks: at most one for each BLOCK items.
+    large = items.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = items.join(small_or_shuffled(written(large, "large")), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "low"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("root", "node", "low", "weight", "z", "block", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
     dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")

@@ -1,10 +1,10 @@
 """Connected components by a distributed union-find.
 
-Each task first joins the edges it holds, in memory bounded by `_HELD`, to stars.  Stars then
-contract in rounds of two steps: every node tells its larger neighbours, then its smaller ones,
-the smallest node it knows.  A node's minimum is a map-side combined aggregate and is joined
-back, so a hub with very many neighbours is split like any skewed join.  The result is one
-star a component, around its smallest node.
+Each task first joins the edges it holds, in memory bounded by `_HELD`, to stars.  Then, in
+rounds, every node takes its smallest parent, its other parents become children of that one, and
+it is moved to its parent's parent.  When a round changes nothing, each component is one star
+around its smallest node.  Both joins of a round read written tables as they are, so Spark splits the
+rows of a hub over tasks as it does in any skewed join.
 """
 
 from __future__ import annotations
@@ -67,12 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = mark(now)
     while state[0]:
         # Here a > b throughout.
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = written(small, "components")
+        parents = written(now.groupBy("a").agg(F.min("b").alias("b")), "components")
+        up = parents.select("a", F.col("b").alias("m"))
+        hooks = now.join(up, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        above = parents.select(F.col("a").alias("b"), F.col("b").alias("top"))
+        moved = parents.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+        now = written(hooks.unionByName(moved).distinct(), "components")
         if (seen := mark(now)) == state:
             break
         state = seen
