@@ -22,15 +22,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import mix64, written
 from tilewright.llm.union_find import components, roots
 
-#: Texts to the shingles of all, one text after another, and where each begins.
-Shingles = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: Stored texts to the shingles of all, one text after another, and where each begins.
+Shingles = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 PART = 4096
 BLOCK = 512
 BROADCAST_ROWS = 300_000
@@ -91,13 +90,20 @@ def _streams(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, node) rows to (key, part, node) of the distinct nodes of runs with two or more."""
+    """Rows (key, node) in order of key to (key, part, node) of the distinct nodes of runs with two or more.
+
+    Nodes are put in order within a batch; one that comes again in a run's next batch counts again.
+    """
     last_key = last_node = None
     count = 0
     for batch in batches:
         key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
         if not len(key):
             continue
+        same = key[1:] == key[:-1]
+        again = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        node = node.copy()
+        node[again] = node[again][np.lexsort((node[again], key[again]))]
         before = (last_key, last_node, count)
         new_key = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
         fresh = new_key | np.r_[last_key is None or node[0] != last_node, node[1:] != node[:-1]]
@@ -226,7 +232,8 @@ def candidate_components(items: DataFrame, low: float, cover: float) -> DataFram
     An item may come several times, but only a few: keys of one item are expected once a task.
     """
     pairs = items.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    runs = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "key long, part int, node long")
+    # One numeric sort key: Spark sorts it by radix.
+    runs = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "key long, part int, node long")
     runs = written(runs, "runs")
     sigs = items.where("keys is not null").select("node", "sig").join(runs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     met = runs.join(sigs, "node").select("key", "part", "node", "sig")
@@ -299,13 +306,12 @@ def _verify(shingles: Shingles, threshold: float):
     columns = ["root", "i", "j", "block", "node", "low", "weight"]
 
     def judge(rows: list[np.ndarray], z: list[bytes]) -> pa.RecordBatch:
-        unpack = zstandard.ZstdDecompressor().decompress
         root, i, j, block, node, low, weight = (np.concatenate([r[k] for r in rows]) for k in range(len(columns)))
         order = np.lexsort((low, node, block, j, i, root))
         root, i, j, block, node, low, weight = (c[order] for c in (root, i, j, block, node, low, weight))
         n = len(root)
         group = np.cumsum(np.r_[0, (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        flat, starts = shingles([unpack(z[k]).decode() for k in order.tolist()])
+        flat, starts = shingles([z[k] for k in order.tolist()])
         owner = np.repeat(np.arange(n), np.diff(np.r_[starts, len(flat)]))
         # A group's shingles are its own.
         flat = flat ^ mix64(group[owner].astype(np.uint64) + np.uint64(1))
@@ -345,7 +351,7 @@ def _verify(shingles: Shingles, threshold: float):
 def verified(items: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
     """(node, low, links, root) of items (root, node, low, weight, z), all pairs within a root compared exactly.
 
-    z is the item's text, compressed; links the summed weight of the other items at least
+    z is the item's text as `shingles` reads it; links the summed weight of the other items at least
     `threshold` alike; root now the final component's smallest node (its own if it has no link).
     """
     items = written(items, "items")

@@ -58,8 +58,10 @@ class WordShingles:
             out = mix64(out + np.uint64(i)) + h[i : len(h) - n + 1 + i]
         return np.unique(mix64(out + np.uint64(n)))
 
-    def __call__(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sets = [self.of(x) for x in many]
+    def __call__(self, many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of compressed texts, one after another, and where each text's begin."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        sets = [self.of(unpack(x).decode()) for x in many]
         return np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
 
 
