@@ -323,6 +323,16 @@ def test_scores_do_not_depend_on_other_columns_or_rows(spark, docs, labels):
     assert set(c) == set(range(len(texts))) and c[0] == c[1] and c[6] == c[7]
 
 
+def test_sample_is_bounded(spark):
+    from tilewright.llm.sampling import labelled
+
+    docs = table(spark, ["t"] * 50, ids=[7] * 40 + list(range(100, 110)))
+    marks = spark.createDataFrame([(i, i % 2) for i in (7, *range(100, 110), 7)], "doc_id long, toxic int")
+    got = labelled(docs, marks, "toxic", 3, 5, 0).collect()
+    assert len(got) <= 6 and len({r["doc_id"] for r in got}) == len(got)
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0 for r in got)
+
+
 def test_no_labels(spark, labels):
     none = labels.limit(0)
     texts = table(spark, ["a b", None])

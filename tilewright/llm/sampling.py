@@ -9,12 +9,13 @@ from tilewright.llm.common import bucket_of
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, folds: int, fold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most per_class rows of each class outside the fold, drawn by a hash of the id.
+    """(doc_id, text, label) of at most per_class rows of each class outside the fold, drawn by a hash of the id.
 
     Only ids and labels are ordered; at most 2 * per_class of them are broadcast to the scan of texts.
+    Of rows repeated with one id one is taken, so repeats can't exceed the bound.
     """
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where((bucket_of(F.col(id_col), folds) != fold) & F.col("doc_id").isNotNull())
     order = F.xxhash64(F.col("doc_id").cast("string"))
     drawn = [rows.where(F.col("label") == c).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "label")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
