@@ -146,11 +146,11 @@ sql("nearest_real_ancestor", f"""WITH {HITS}, {RECTS}, up AS (SELECT id, az, x >
 sql("imagery_fallback", f"""WITH {HITS}, have AS (SELECT DISTINCT z, x, y FROM tile_hits WHERE (x * 3 + y * 5 + z) % 4 = 0),
     up AS (SELECT id, az, x >> (9 - az)::INT AS ax, y >> (9 - az)::INT AS ay FROM tile_hits, range(0, 8) r(az) WHERE z = 9)
     SELECT id, max(az) AS az, arg_max(ax, az) AS ax, arg_max(ay, az) AS ay FROM up WHERE (az, ax, ay) IN (SELECT z, x, y FROM have) GROUP BY id""")
-_few = f"few AS (SELECT DISTINCT z, x, y FROM tile_hits WHERE z <= 6)"
+_few = f"few AS (SELECT DISTINCT z, x, y FROM tile_hits)"
 _x = lambda v, e: f"least(trunc(({v} {e}) * (1::BIGINT << m::INT))::BIGINT, (1::BIGINT << m::INT) - 1)"
 COVERS = f"""{HITS}, {_few}, span AS (SELECT z, x, y, ({west()} + pi()) / (2 * pi()) AS x0, ({west(x='x')} + 2 * pi() / (2::BIGINT << z::INT) + pi()) / (2 * pi()) AS x1,
         {merc_y(south())} AS y0, {merc_y('(' + south() + ' + pi() / (1::BIGINT << z::INT))')} AS y1 FROM few),
-    grids AS (SELECT z, x, y, m, {_x('x0', '+ 1e-9')} AS tx0, {_x('y0', '+ 1e-9')} AS ty0, {_x('x1', '- 1e-9')} AS tx1, {_x('y1', '- 1e-9')} AS ty1 FROM span, range(0, 8) r(m) WHERE m <= z + 1),
+    grids AS (SELECT z, x, y, m, {_x('x0', '+ 1e-9')} AS tx0, {_x('y0', '+ 1e-9')} AS ty0, {_x('x1', '- 1e-9')} AS tx1, {_x('y1', '- 1e-9')} AS ty1 FROM span, range(0, 11) r(m) WHERE m <= z + 1),
     covers AS (SELECT * FROM grids WHERE tx1 - tx0 < 1 AND ty1 - ty0 < 2),
     deepest AS (SELECT * FROM covers QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY m DESC) = 1)"""
 FILES = """files AS (SELECT DISTINCT m, tx, ty FROM (SELECT m, unnest(range(tx0, tx1 + 1)) AS tx, ty0, ty1 FROM covers) c, LATERAL (SELECT unnest(range(c.ty0, c.ty1 + 1)) AS ty) t WHERE (tx * 3 + ty * 5 + m) % 7 <> 0)"""
@@ -263,7 +263,7 @@ CODES = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS code F
 _w = "OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, code ROWS UNBOUNDED PRECEDING)"
 sql("zigzag", f"SELECT *, (sum(xor(code >> 1, -(code & 1))) {_w})::BIGINT AS value FROM ({CODES})")
 sql("highwater", f"SELECT *, (sum((code = 0)::INT) {_w} - (code = 0)::INT - code)::BIGINT AS index FROM (SELECT l_orderkey, l_partkey, l_suppkey, code % 3 AS code FROM ({CODES}))")
-NET = """v AS (SELECT (p_partkey - 1) % 8 AS mesh, (p_partkey - 1) // 8 AS v, p_retailprice AS vh, ((p_partkey - 1) // 8 % 9) * 4000e0 AS vx, ((p_partkey - 1) // 8 // 9) * 4000e0 AS vy FROM part WHERE p_partkey <= 648),
+NET = """v AS (SELECT (p_partkey - 1) // 81 AS mesh, (p_partkey - 1) % 81 AS v, p_retailprice AS vh, ((p_partkey - 1) % 81 % 9) * 4000e0 AS vx, ((p_partkey - 1) % 81 // 9) * 4000e0 AS vy FROM part),
     low AS (SELECT mesh, v AS a FROM v WHERE v % 9 < 8 AND v < 72), idx AS (SELECT mesh, a * 2 AS tri, a AS i1, a + 1 AS i2, a + 10 AS i3 FROM low UNION ALL SELECT mesh, a * 2 + 1, a, a + 10, a + 9 FROM low),
     tri AS (SELECT i.mesh, tri, a.vx AS x1, a.vy AS y1, a.vh AS h1, b.vx AS x2, b.vy AS y2, b.vh AS h2, c.vx AS x3, c.vy AS y3, c.vh AS h3 FROM idx i JOIN v a ON a.mesh = i.mesh AND a.v = i1 JOIN v b ON b.mesh = i.mesh AND b.v = i2 JOIN v c ON c.mesh = i.mesh AND c.v = i3)"""
 SAMPLED = """bary AS (SELECT p.mesh, p.point, t.tri, h1, h2, h3, ((y2 - y3) * (px - x3) + (x3 - x2) * (py - y3)) / nullif((y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3), 0) AS w1,
@@ -271,10 +271,10 @@ SAMPLED = """bary AS (SELECT p.mesh, p.point, t.tri, h1, h2, h3, ((y2 - y3) * (p
     hit AS (SELECT mesh, point, arg_min(w1 * h1 + w2 * h2 + (1 - w1 - w2) * h3, tri) AS h FROM bary WHERE w1 >= -1e-9 AND w2 >= -1e-9 AND 1 - w1 - w2 >= -1e-9 GROUP BY mesh, point),
     near AS (SELECT p.mesh, p.point, v.vh AS h FROM pts p JOIN v ON v.mesh = p.mesh WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.mesh = p.mesh AND hit.point = p.point) QUALIFY row_number() OVER (PARTITION BY p.mesh, p.point ORDER BY (vx - px) * (vx - px) + (vy - py) * (vy - py), v.v) = 1),
     sampled AS (SELECT mesh, point, h, true AS hit FROM hit UNION ALL SELECT mesh, point, h, false FROM near)"""
-sql("tin_sample", f"""WITH {GEO}, {NET}, pts AS (SELECT id % 8 AS mesh, id AS point, (lon + 180) / 360 * 33000 AS px, (lat + 85) / 170 * 33000 AS py FROM geo_points), {SAMPLED}
+sql("tin_sample", f"""WITH {GEO}, {NET}, pts AS (SELECT id % (SELECT greatest(1, (count(*) + 80) // 81) FROM part) AS mesh, id AS point, (lon + 180) / 360 * 33000 AS px, (lat + 85) / 170 * 33000 AS py FROM geo_points), {SAMPLED}
     SELECT mesh, point, round(h, 4) AS h, hit FROM sampled WHERE mesh IN (SELECT mesh FROM v)""")
-sql("upsample", f"""WITH {NET}, want(mesh, z, x, y, az, ax, ay) AS (VALUES (0, 6, 21, 20, 5, 10, 10), (1, 7, 43, 40, 5, 10, 10)),
-    pts AS (SELECT mesh::BIGINT AS mesh, j * 9 + i AS point, ((x - (ax << (z - az))) + i / 8e0) / (1 << (z - az)) * 32000 AS px, ((y - (ay << (z - az))) + j / 8e0) / (1 << (z - az)) * 32000 AS py FROM want, range(9) a(i), range(9) b(j)), {SAMPLED},
+sql("upsample", f"""WITH {NET}, want AS (SELECT mesh, 6 + mesh % 2 AS z, CASE mesh % 2 WHEN 0 THEN 21 ELSE 43 END AS x, CASE mesh % 2 WHEN 0 THEN 20 ELSE 40 END AS y, 5 AS az, 10 AS ax, 10 AS ay FROM v WHERE v = 0),
+    pts AS (SELECT mesh::BIGINT AS mesh, j * 9 + i AS point, ((x - (ax << (z - az)::INT)) + i / 8e0) / (1 << (z - az)::INT) * 32000 AS px, ((y - (ay << (z - az)::INT)) + j / 8e0) / (1 << (z - az)::INT) * 32000 AS py FROM want, range(9) a(i), range(9) b(j)), {SAMPLED},
     r AS (SELECT mesh, point, round(h, 4) AS h, min(round(h, 4)) OVER (PARTITION BY mesh) AS lo, max(round(h, 4)) OVER (PARTITION BY mesh) AS hi FROM sampled)
     SELECT mesh, point, round(lo, 4) AS min_h, round(hi, 4) AS max_h, coalesce(round_even((h - lo) / nullif(hi - lo, 0) * 32767, 0), 0)::BIGINT AS hq FROM r""")
 VERT = f"""vert AS (SELECT p_partkey, 6 AS z, p_partkey % 128 AS x, p_partkey % 64 AS y, ((p_partkey * 37) % 32768) / 32767e0 AS fu, ((p_partkey * 101) % 32768) / 32767e0 AS fv, ((p_partkey * 211) % 32768) / 32767e0 * p_retailprice AS hh FROM part),

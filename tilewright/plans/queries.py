@@ -230,34 +230,34 @@ def imagery_fallback(spark, sf):
     return out.select("id", F.col("az").cast("long").alias("az"), "ax", "ay")
 
 
-def _few(spark, sf):
-    return _hits(spark, sf).where("z <= 6")
+def _tiles(spark, sf):
+    return _hits(spark, sf).select("z", "x", "y").distinct()
 
 
 @query
 def merc_cover(spark, sf):
-    tiles = _few(spark, sf).select("z", "x", "y").distinct()
+    tiles = _tiles(spark, sf)
     out = av.mercator_cover(tiles, ["z", "x", "y"])
     return out.select("z", "x", "y", F.col("m").cast("long").alias("m"), "tx0", "ty0", "tx1", "ty1")
 
 
 def _files(spark, sf):
     """Mercator tiles that are on disk: those of the covers, one in seven aside."""
-    tiles = _few(spark, sf).select("z", "x", "y").distinct()
+    tiles = _tiles(spark, sf)
     cells = av.cover_cells(av.covers(tiles)).select("m", "tx", "ty").distinct()
     return cells.where((F.col("tx") * 3 + F.col("ty") * 5 + F.col("m")) % 7 != 0)
 
 
 @query
 def cover_complete(spark, sf):
-    tiles = _few(spark, sf).select("z", "x", "y").distinct()
+    tiles = _tiles(spark, sf)
     out = av.complete_covers(av.mercator_cover(tiles, ["z", "x", "y"]), _files(spark, sf), ["z", "x", "y"])
     return out.select("z", "x", "y", F.col("m").cast("long").alias("m"))
 
 
 @query
 def cover_fallback(spark, sf):
-    tiles = _few(spark, sf).select("z", "x", "y").distinct()
+    tiles = _tiles(spark, sf)
     out = av.cover_fallback(tiles, _files(spark, sf), ["z", "x", "y"])
     return out.select("z", "x", "y", F.col("m").cast("long").alias("m"), "tx0", "ty0", "tx1", "ty1")
 
@@ -306,7 +306,7 @@ _BOX = [f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"]
 
 @query
 def tile_aabb(spark, sf):
-    tiles = _few(spark, sf).select("z", "x", "y").distinct()
+    tiles = _tiles(spark, sf)
     return selection.tile_boxes(tiles, FRAME).select("z", "x", "y", *(_r(c, 2).alias(c) for c in _BOX))
 
 
@@ -438,8 +438,9 @@ def highwater(spark, sf):
 
 
 def _net(spark, sf):
-    """A grid of 9 x 9 vertices for each of up to eight meshes, heights from part prices, two triangles a cell."""
-    v = table(spark, sf, "part").where("p_partkey <= 648").select(((F.col("p_partkey") - 1) % 8).alias("mesh"), F.floor((F.col("p_partkey") - 1) / 8).cast("long").alias("v"), F.col("p_retailprice").alias("vh"))
+    """Meshes of 9 x 9 vertices, heights from part prices, two triangles a cell; the last mesh may end early."""
+    k = F.col("p_partkey") - 1
+    v = table(spark, sf, "part").select(F.floor(k / 81).cast("long").alias("mesh"), (k % 81).alias("v"), F.col("p_retailprice").alias("vh"))
     v = v.withColumn("vx", (F.col("v") % 9) * 4000.0).withColumn("vy", F.floor(F.col("v") / 9) * 4000.0)
     low = v.where("v % 9 < 8 and v < 72").select("mesh", F.col("v").alias("a"))
     tris = low.select("mesh", (F.col("a") * 2).alias("tri"), F.array("a", F.col("a") + 1, F.col("a") + 10).alias("i")).unionByName(low.select("mesh", (F.col("a") * 2 + 1).alias("tri"), F.array("a", F.col("a") + 10, F.col("a") + 9).alias("i")))
@@ -452,14 +453,17 @@ def _net(spark, sf):
 @query
 def tin_sample(spark, sf):
     v, tris = _net(spark, sf)
-    pts = derive.geo_points(spark, sf).select((F.col("id") % 8).alias("mesh"), F.col("id").alias("point"), ((F.col("lon") + 180) / 360 * 33_000).alias("px"), ((F.col("lat") + 85) / 170 * 33_000).alias("py"))
+    meshes = max(1, -(-table(spark, sf, "part").count() // 81))
+    pts = derive.geo_points(spark, sf).select((F.col("id") % meshes).alias("mesh"), F.col("id").alias("point"), ((F.col("lon") + 180) / 360 * 33_000).alias("px"), ((F.col("lat") + 85) / 170 * 33_000).alias("py"))
     return mesh.sample_net(pts, tris, v, "mesh", "point", 4000.0).select("mesh", "point", _r("h", 4).alias("h"), "hit")
 
 
 @query
 def upsample(spark, sf):
     v, tris = _net(spark, sf)
-    want = spark.createDataFrame([(0, 6, 21, 20, 5, 10, 10), (1, 7, 43, 40, 5, 10, 10)], "mesh long, z int, x long, y long, az int, ax long, ay long")
+    odd = F.col("mesh") % 2
+    key = lambda even, other: F.when(odd == 0, even).otherwise(other)
+    want = v.where("v = 0").select("mesh", key(6, 7).alias("z"), key(21, 43).cast("long").alias("x"), key(20, 40).cast("long").alias("y"), F.lit(5).alias("az"), F.lit(10).cast("long").alias("ax"), F.lit(10).cast("long").alias("ay"))
     grid = mesh.grid_points(want, 9).withColumn("point", F.col("j") * 9 + F.col("i"))
     # The net spans 0 .. 32000, so units are scaled to it.
     pts = grid.select("mesh", F.col("point").cast("long").alias("point"), (F.col("px") / mesh.QUANT * 32_000).alias("px"), (F.col("py") / mesh.QUANT * 32_000).alias("py"))
