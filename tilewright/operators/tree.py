@@ -37,13 +37,13 @@ def node_facts(nodes: DataFrame, camera: Camera, threshold: float, max_dist: flo
 
 def select_nodes(facts: DataFrame) -> DataFrame:
     """(id, render, load, priority, keep) of the nodes that any of these is true for."""
-    deepest = facts.agg(F.max("depth")).first()[0]
+    used = ["id", "parent", "depth", "refine", "is_ready", "seen", "err", "tileset", "grafted", "has_kids", "wants_children"]
+    base = written(facts.select(*used, (F.coalesce("uri", F.lit("")) != "").alias("has_uri")), "node-facts")
+    deepest = base.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return facts.select("id", F.lit(False).alias("render"), F.lit(False).alias("load"), F.lit(0.0).alias("priority"), F.lit(False).alias("keep"))
-    has_uri = F.coalesce("uri", F.lit("")) != ""
-    base = facts.withColumn("has_uri", has_uri)
+        return base.select("id", F.lit(False).alias("render"), F.lit(False).alias("load"), F.lit(0.0).alias("priority"), F.lit(False).alias("keep"))
     # Up: whether a subtree may take its parent's place.
-    ready = None
+    ready = every = None
     for depth in range(deepest, -1, -1):
         level = base.where(F.col("depth") == depth)
         if ready is None:
@@ -52,8 +52,11 @@ def select_nodes(facts: DataFrame) -> DataFrame:
             below = ready.groupBy("parent").agg(F.bool_and(~F.col("seen") | F.col("subtree_ready")).alias("kids_ready")).withColumnRenamed("parent", "id")
             level = level.join(below, "id", "left").withColumn("kids_ready", F.coalesce("kids_ready", F.lit(True)))
         ready = level.withColumn("subtree_ready", F.when(F.col("has_uri"), ~F.col("tileset") & F.col("is_ready")).otherwise(F.col("kids_ready")))
-        ready = written(ready, "node-levels")
-        every = ready if depth == deepest else every.unionByName(ready)  # noqa: F821
+        # A few levels are one plan; deeper trees are cut, so plans stay short.
+        if (deepest - depth) % 4 == 3:
+            ready = written(ready, "node-levels")
+        every = ready if every is None else every.unionByName(ready)
+    every = written(every, "nodes")
     # Down: reached nodes, and frontiers that a gated parent waits for.
     reached = every.where("depth = 0 and seen").withColumn("wait", F.lit(None).cast("double"))
     out = None
