@@ -101,8 +101,8 @@ def breaker(log: DataFrame, order: list[str], bucket: Column, failures: int = BR
     ended = chained.where("oks > 0").select((F.col("g") - 1).alias("g"), F.col("head").alias("n"))
     cross = begun.unionByName(ended).groupBy("g").agg(F.sum("n").alias("n"))
     inside = parts.agg(F.coalesce(F.max("whole_max"), F.lit(0)).alias("m"), F.coalesce(F.sum("whole_open"), F.lit(0)).alias("o"))
-    outside = cross.agg(F.coalesce(F.max("n"), F.lit(0)).alias("m2"), F.count_if(F.col("n") >= failures).alias("o2"))
-    return inside.crossJoin(outside).select(F.greatest("m", "m2").cast("long").alias("max_run"), (F.col("o") + F.col("o2")).cast("long").alias("openings"))
+    outside = cross.agg(F.coalesce(F.max("n"), F.lit(0)).alias("m"), F.count_if(F.col("n") >= failures).alias("o"))
+    return inside.unionByName(outside).agg(F.max("m").cast("long").alias("max_run"), F.sum("o").cast("long").alias("openings"))
 
 
 def need_select(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
