@@ -3,13 +3,14 @@
 A stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read
 again as the next stage's docs.  All but the last return the columns of docs, whatever they are.
 Decisions on single texts (toxicity, language) filter where the texts are read; decisions that
-compare texts come back as the ids that go, which are few and, while counted to be few, broadcast.
+compare texts come back as the rows that go, named by id and text digest, which are few and, while
+counted to be few, broadcast: rows of one id (or of none) with other texts are not touched.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import exact_dedup, langid, ngram_join, packing, toxicity
@@ -20,9 +21,26 @@ from tilewright.llm.minhash import small_or_shuffled
 LEAST_LIKE = 0.2
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = small_or_shuffled(written(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _stay(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that found (doc_id, digest, kept) doesn't drop; of rows equal in id and text one stays."""
+    found = written(found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "kept"), "found")
+    gone = small_or_shuffled(written(found.where("not kept").select("__id", "__of").distinct(), "gone"))
+    again = written(found.where("kept").groupBy("__id", "__of").count().where("count > 1").select("__id", "__of"), "again")
+    named = docs.withColumn("__digest", _digest(docs["text"]))
+    kept = named.join(gone, _same(named, gone), "left_anti")
+    if not again.isEmpty():
+        again = small_or_shuffled(again)
+        twins = named.join(again, _same(named, again), "left_semi").dropDuplicates(["doc_id", "__digest"])
+        kept = kept.join(again, _same(kept, again), "left_anti").unionByName(twins)
+    return kept.drop("__digest")
+
+
+def _same(named: DataFrame, ids: DataFrame) -> Column:
+    return named["doc_id"].eqNullSafe(ids["__id"]) & (named["__digest"] == ids["__of"])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,19 +55,12 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(exact_dedup.exact_dedup(docs), "copies")
-    kept = _without(docs, found.where("not kept"))
-    # Rows repeated with one id all are its winner; one of them stays.
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    twins = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(kept, again).unionByName(twins)
+    found = exact_dedup.exact_dedup(docs)
+    return _stay(docs, found.select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join_documents(docs, threshold=0.8, words=5)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    return _stay(docs, ngram_join.decide_copies(docs.withColumn("__digest", _digest(docs["text"])), "__digest", threshold=0.8, words=5))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,31 @@ def test_rows_repeated_with_one_id(spark, sf):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()) == [7, 8]
 
 
+def _rows(df):
+    return collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_copies_of_one_id_or_none(spark, sf):
+    rows = [(7, "A"), (7, "B"), (9, "A"), (None, "B again"), (None, "C"), (9, "C"), (8, "E"), (8, "E"), (6, "E"), (None, "F"), (None, "F"), (5, None), (5, "")]
+    got = _rows(corpus_pipeline.drop_copies(spark, table(spark, [t for _, t in rows], ids=[i for i, _ in rows]), sf))
+    fives = [k for k in got if k[0] == 5]
+    assert len(fives) == 1 and not got[fives[0]] - 1
+    assert {k: n for k, n in got.items() if k[0] != 5} == {(7, "B"): 1, (9, "A"): 1, (None, "B again"): 1, (9, "C"): 1, (8, "E"): 1, (None, "F"): 1}
+
+
+def test_near_copies_of_one_id_or_none(spark, sf):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in (3, 20, 40)]
+    apart = [" ".join(f"{c}{i}" for i in range(20)) for c in "pqrst"]
+    twin = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, " ".join(words)), (None, near[0]), (None, apart[0]), (2, near[1]), (2, apart[1]), (1, apart[2]), (1, near[2]), (3, apart[3]), (3, apart[3]), (None, twin), (None, twin.upper()), (None, apart[4])]
+    got = _rows(corpus_pipeline.drop_near_copies(spark, table(spark, [t for _, t in rows], ids=[i for i, _ in rows]), sf))
+    family = [k for k in got if k[1] in near or k[1] == rows[0][1]]
+    twins = [k for k in got if k[1].lower() == twin]
+    assert len(family) == 1 and family[0][0] == 1 and len(twins) == 1
+    assert set(got.values()) == {1} and set(got) - {*family, *twins} == {(None, apart[0]), (2, apart[1]), (1, apart[2]), (3, apart[3]), (None, apart[4])}
+
+
 def test_empty_table(spark, sf):
     docs = table(spark, [])
     for _, stage in corpus_pipeline.STAGES:

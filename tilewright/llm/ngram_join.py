@@ -95,20 +95,20 @@ def _features(words: int, trees: int, depth: int):
                 packed = pa.array(z, pa.binary()).take(where)
             else:
                 keys, sigs, packed = (pa.nulls(len(ids), t) for t in (pa.list_(pa.int64()), pa.binary(), pa.binary()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(name[:, 0]), pa.array(name[:, 1]), keys, sigs, packed], names=["doc_id", "node", "low", "keys", "sig", "z"])
+            rest = [c for c in batch.schema.names if c not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(name[:, 0]), pa.array(name[:, 1]), keys, sigs, packed, *(batch[c] for c in rest)], names=["doc_id", "node", "low", "keys", "sig", "z", *rest])
 
     return run
 
 
-def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) of every document.
+def _joined(rows: DataFrame, threshold: float, words: int, trees: int, target: float) -> tuple[DataFrame, DataFrame]:
+    """Features of rows (doc_id, text and others), and of each content with a copy or link its class and links.
 
-    class_id is the smallest doc_id of its connected group; n_links the number of other documents
-    at least `threshold` like it, copies counted one by one.
+    A class is named by (linked, root, of): a component's root, or the one content that has copies only.
     """
     depth = depth_for(threshold, trees, target, LONGEST)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    features = written(rows.mapInArrow(_features(words, trees, depth), "doc_id long, node long, low long, keys array<long>, sig binary, z binary"), "join-features")
+    rest = "".join(f", {c} {kind}" for c, kind in rows.dtypes if c not in ("doc_id", "text"))
+    features = written(rows.mapInArrow(_features(words, trees, depth), "doc_id long, node long, low long, keys array<long>, sig binary, z binary" + rest), "join-features")
     classes = written(features.groupBy("node", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "join-classes")
     tied = written(candidate_components(features.select("node", "keys", "sig"), 0.4, 0.85), "join-candidates")
     chosen = features.where("z is not null").select("node", "low", "z").join(small_or_shuffled(tied), "node").dropDuplicates(["node", "low"])
@@ -116,9 +116,33 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     found = written(verified(items.select("root", "node", "low", "weight", "z"), WordShingles(words), threshold), "join-links")
     named = classes.join(found, ["node", "low"])
     groups = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    linked = named.join(groups, "root").select("node", "low", "class_id", (F.col("n") - 1 + F.col("links")).alias("n_links"))
-    alone = classes.where("n > 1").join(found.select("node", "low"), ["node", "low"], "left_anti").select("node", "low", F.col("first").alias("class_id"), (F.col("n") - 1).alias("n_links"))
-    known = linked.unionByName(alone)
-    every = features.select("doc_id", "node", "low").join(known, ["node", "low"], "left")
+    linked = named.join(groups, "root").select("node", "low", "class_id", (F.col("n") - 1 + F.col("links")).alias("n_links"), F.lit(True).alias("linked"), "root", F.lit(0).cast("long").alias("of"))
+    alone = classes.where("n > 1").join(found.select("node", "low"), ["node", "low"], "left_anti").select("node", "low", F.col("first").alias("class_id"), (F.col("n") - 1).alias("n_links"), F.lit(False).alias("linked"), F.col("node").alias("root"), F.col("low").alias("of"))
+    return features, linked.unionByName(alone)
+
+
+def join_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) of every document.
+
+    class_id is the smallest doc_id of its connected group; n_links the number of other documents
+    at least `threshold` like it, copies counted one by one.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    features, known = _joined(rows, threshold, words, trees, target)
+    every = features.select("doc_id", "node", "low").join(known.select("node", "low", "class_id", "n_links"), ["node", "low"], "left")
     own = F.col("n_links").isNull()
     return every.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def decide_copies(docs: DataFrame, digest_col: str, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, kept) of every row that has a copy or link: of a class the first (doc_id, digest) is kept.
+
+    Rows are told apart by id and the digest of their text, so ids may repeat or be null.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(digest_col).alias("digest"))
+    features, known = _joined(rows, threshold, words, trees, target)
+    key = ["linked", "root", "of"]
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("place")
+    met = written(features.select("node", "low", place).join(known.select("node", "low", *key), ["node", "low"]).select(*key, "place"), "join-places")
+    stays = met.groupBy(*key).agg(F.min("place").alias("stays"))
+    return met.join(stays, key).select("place.doc_id", "place.digest", F.col("place").eqNullSafe(F.col("stays")).alias("kept"))
