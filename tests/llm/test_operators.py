@@ -123,6 +123,16 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(table(spark, []), JSON).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, end * 3, f"a  {end}  b\n{end}\n", f"it{end}'s {end[:-1]} <|end {end.upper()} |>{end}<|", f"caf\u00e9{end}12{end} 12 \u65e5{end}\u672c", f"  {end}\t\t"]
+    tokenizer = Tokenizer.from_file(JSON)
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert all(50256 in x for x in ids.values())
+    assert all(packing.byte_level_encoder(JSON).encode(t, allowed_special="all") + [0] == ids[i] for i, t in enumerate(texts))
+    _check_packed(packing.pack_documents(table(spark, texts), JSON, 16).collect(), ids, 16)
+
+
 @given(st.lists(st.integers(1, 100), max_size=200), st.integers(1, 6))
 @settings(max_examples=60, deadline=None)
 def test_bins_hold_what_fits(lengths, open_bins):

@@ -10,7 +10,8 @@ Only numbers are dealt out: texts are tokenized where they are read, and pieces
 TASK_PIECES each, so each task sees a mixture like the whole and leaves at most `open_bins`
 bins unfilled.
 
-Defined results: a null or empty text is its end id alone; repeated rows are packed as often as
+Defined results: a null or empty text is its end id alone; an added token of the vocabulary
+(<|endoftext|>) that stands in a text is that token's id; repeated rows are packed as often as
 they come; an empty table gives an empty result; a longer document is cut into full pieces, the
 remainder first.
 """
@@ -40,17 +41,21 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def byte_level_encoder(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary of a tokenizers JSON file, in an encoder that runs it faster.
 
-    Its merges are in the order of their ids, so ids serve as ranks; tests hold both libraries'
-    ids against each other.
+    Its merges are in the order of their ids, so ids serve as ranks; its added tokens are cut out of
+    texts first and have their own ids, as in the tokenizers library.  Tests hold both libraries' ids
+    against each other.
     """
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        held = json.load(f)
+    vocab, added = held["model"]["vocab"], {x["content"]: x["id"] for x in held.get("added_tokens") or []}
+    if unlike := [x["content"] for x in held.get("added_tokens") or [] if x["single_word"] or x["lstrip"] or x["rstrip"]]:
+        raise ValueError(f"{path}: added tokens that take in or need what is beside them: {unlike}")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token not in added}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 class Packer:
@@ -113,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
         for batch in small_batches(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True):
-                ids = np.append(encode(text, disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4")
                 first = len(ids) % size or size
                 raw = ids.tobytes()
                 start, k = 0, 0
