@@ -303,6 +303,25 @@ def test_toxicity_learns_pairs():
     assert score(1, 2) > 0.5 > max(score(1), score(2))
 
 
+def test_toxicity_learns_pairs_that_say_nothing_alone():
+    rng = np.random.default_rng(1)
+    # Each term is as frequent in both classes; toxic are both together, or neither.
+    x = [np.unique([t for t, on in ((1, a), (2, b)) if on] + rng.integers(10, 200, 8).tolist()) for a, b in rng.integers(0, 2, (4000, 2))]
+    y = np.array([int((1 in t) == (2 in t)) for t in x])
+    model = toxicity.FactorizationMachine.fit(x, y)
+    number = model.numbers()
+    assert (number[[1, 2]] >= 0).all()
+    score = lambda *t: model.score(number[list(t)])
+    assert score(1, 2) > 0.5 > max(score(1), score(2))
+
+
+def test_toxicity_keeps_rare_words_of_one_class():
+    rng = np.random.default_rng(1)
+    rows = [np.unique([*([5] if i < 16 and i % 2 else []), *rng.integers(10, 200, 8)]) for i in range(2000)]
+    model = toxicity.FactorizationMachine.fit(rows, np.arange(2000) % 2)
+    assert model.weight[model.numbers()[5]] > 0 <= model.numbers()[5]
+
+
 def test_toxicity(spark, docs, labels):
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     got = toxicity.score_documents(docs, labels).collect()

@@ -61,6 +61,55 @@ class Terms:
         return np.fromiter(out, np.int64, len(out))
 
 
+def alone(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How far each term tells the classes apart: standard errors of the log ratio, or the root of the
+    likelihood ratio if more, which doesn't level off for a rare term of one class only."""
+    share = (seen + 0.5) / (n[:, None] + 1.0)
+    errors = np.abs(np.log(share[1] / share[0])) / np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
+    due = seen.sum(axis=0) * (n / n.sum())[:, None]
+    gain = (seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-12))).sum(axis=0)
+    return np.maximum(errors, np.sqrt(2 * np.maximum(gain, 0.0)))
+
+
+def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np.ndarray, paired: float, block: int = 1024) -> np.ndarray:
+    """For each term the most standard errors by which rows with it and another term differ from what both say alone.
+
+    All pairs of terms are counted that are in as many rows as it takes, with classes of one size, to
+    come to `paired`: blocks of a 0/1 matrix, kept as bits, times each other.
+    """
+    out = np.zeros(seen.shape[1])
+    often = np.flatnonzero(seen.sum(axis=0) >= paired * paired)
+    number = np.full(seen.shape[1], -1, np.int64)
+    number[often] = np.arange(len(often))
+    bits = []
+    for c in (0, 1):
+        of = [x[x >= 0] for x in (number[rows[i]] for i in np.flatnonzero(labels == c).tolist())]
+        held = np.zeros((len(often), -(-len(of) // 8)), np.uint8)
+        for i, x in enumerate(of):
+            held[x, i // 8] |= np.uint8(128 >> i % 8)
+        bits.append(held)
+    log_odds = np.log((seen[1, often] + 0.5) / (seen[0, often] + 0.5))
+    spread = 1 / (seen[1, often] + 0.5) + 1 / (seen[0, often] + 0.5)
+    best = np.zeros(len(often))
+    for lo in range(0, len(often), block):
+        left = [np.unpackbits(x[lo : lo + block], axis=1).astype(np.float32) for x in bits]
+        for at in range(lo, len(often), block):
+            a, b = slice(lo, lo + block), slice(at, at + block)
+            count = [x @ np.unpackbits(y[b], axis=1).astype(np.float32).T for x, y in zip(left, bits, strict=True)]
+            both = count[0] + count[1]
+            # What both terms say alone, and how uncertain that is.
+            p = 1 / (1 + np.exp(np.log(n[1] / n[0]) - log_odds[a, None] - log_odds[None, b]))
+            wide = both * p * (1 - p)
+            z = np.abs(count[1] - both * p) / np.sqrt(np.maximum(wide + wide * wide * (spread[a, None] + spread[None, b]), 0.25))
+            z[both < paired * paired] = 0.0
+            if at == lo:
+                np.fill_diagonal(z, 0.0)
+            best[a] = np.maximum(best[a], z.max(axis=1))
+            best[b] = np.maximum(best[b], z.max(axis=0))
+    out[often] = best
+    return out
+
+
 class FactorizationMachine:
     """bias + sum of weights + sum over pairs of <factor, factor>, through a logistic."""
 
@@ -79,9 +128,9 @@ class FactorizationMachine:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, terms: int = 30_000, factors: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, least: int = 3, clear: float = 2.5, batch: int = 128) -> FactorizationMachine:
-        """Minibatches in a fixed order with per-weight step sizes; terms seen in fewer than `least`
-        rows, or that tell the classes apart by fewer than `clear` standard errors, are left out."""
+    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, terms: int = 30_000, factors: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, least: int = 3, clear: float = 2.5, paired: float = 5.5, batch: int = 128) -> FactorizationMachine:
+        """Minibatches in a fixed order with per-weight step sizes; of terms seen in `least` rows those stay
+        that tell the classes apart, alone by `clear` standard errors or with another term by `paired`."""
         size = 1 << BITS
         seen = np.zeros((2, size), np.int64)
         for ids, y in zip(rows, labels.tolist(), strict=True):
@@ -89,9 +138,11 @@ class FactorizationMachine:
         n = np.bincount(labels, minlength=2)
         if n.min() == 0:
             return cls(np.zeros(0, np.int64), -40.0, np.zeros(0), np.zeros((0, factors)))
-        share = (seen + 0.5) / (n[:, None] + 1.0)
-        # How far a term tells the classes apart, in standard errors of the log ratio.
-        apart = np.abs(np.log(share[1] / share[0])) / np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
+        apart = alone(seen, n)
+        if clear > 0:
+            # A term that says nothing alone counts as much as its clearest pair, on the same scale.
+            together = in_pairs(rows, labels, seen, n, paired)
+            apart = np.maximum(apart, np.where(together >= paired, together, 0.0))
         apart[(seen.sum(axis=0) < least) | (apart < clear)] = -1.0
         hashed = np.sort(np.argsort(-apart, kind="stable")[:terms])
         hashed = hashed[apart[hashed] >= 0]
