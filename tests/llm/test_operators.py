@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewright.llm import bpe, exact_dedup, fingerprints, langid, line_dedup, lm, minhash, ngram_join, packing, quality, toxicity
+from tilewright.llm import bpe, exact_dedup, fingerprints, langid, line_dedup, lm, minhash, ngram_join, packing, quality, queries, toxicity
 from tilewright.llm.common import bucket_of
 from tilewright.llm.mph import PerfectHash
 from tilewright.llm.union_find import components
@@ -635,6 +635,24 @@ def test_lines_rewritten(spark):
     assert got == {0: "a first line\n\nmine", 1: "yours\n", 2: None}
 
 
+def test_lines_with_one_or_two_characters_changed(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    texts, must = [], []
+    for length in range(40, 171, 10):
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), length))
+        one = line[: length // 2] + "#" + line[length // 2 + 1 :]
+        two = line[: length // 3] + "#" + line[length // 3 + 1 : 2 * length // 3] + "#" + line[2 * length // 3 + 1 :]
+        texts += [line, one, "\n".join([two, "Z" * length])]
+        # By shingles of five a change costs five: (L - 9) / (L + 1) for one, (L - 14) / (L + 6) for two.
+        must += [False, length >= 50, length >= 100]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    _, root = _link_by_hand({i: {t.split("\n")[0][k : k + 5] for k in range(len(t.split("\n")[0]) - 4)} for i, t in enumerate(texts)})
+    first = {i: 0 in got[i] for i in got}
+    assert first == {i: root[i] != i for i in got}
+    assert all(first[i] for i, m in enumerate(must) if m)
+
+
 def test_bands_grow_with_the_corpus():
     assert line_dedup.rows_for(1000) == 3 < line_dedup.rows_for(10**8) < line_dedup.rows_for(10**11)
     assert minhash.recall(0.8, line_dedup.bands_for(4), 4) >= line_dedup.TARGET
