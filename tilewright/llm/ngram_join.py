@@ -1,8 +1,8 @@
 """N-gram Jaccard join: pairs of documents whose five-word shingles are at least 0.8 alike.
 
-A MinHash LSH forest: each of `TREES` tries holds the documents' signatures by prefix, in sorted
-order.  The matched prefix is shortened, from `LONGEST` on, until a pair at the threshold is met in
-some tree with probability `TARGET`.  What meets is verified exactly (see minhash).
+MinHash banding of fixed depth: each of `TREES` bands holds the documents' signatures by one hashed
+prefix.  Its depth is the longest, up to `LONGEST`, at which a pair at the threshold is met in some
+band with probability `TARGET`; it doesn't depend on the data.  What meets is verified exactly (see minhash).
 
 Words are runs of other than blank characters, lower case; a text of one to four words is a single
 shingle.  Documents with equal sets of shingles are one class; only classes are joined.
