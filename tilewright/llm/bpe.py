@@ -5,11 +5,13 @@ over the vocabulary's byte strings; a match that is a token in full (its bytes e
 its slot) is that one id.  Tier two, for all others: the bytes are nodes of a linked list, a heap
 holds the ranks of neighbouring pairs, and the lowest rank merges until none is left.
 
-Equal matches recur, so both tiers' answers are kept for a bounded number of recent ones; new
-matches of a batch go through tier one together, as arrays.
+Equal matches recur, so both tiers' answers are kept for recent ones, bounded in number and in
+characters; new matches of a batch go through tier one together, as arrays.  Decoding goes by ids
+alone: it looks each one up in the vocabulary.
 
 Defined results: null and empty texts have no ids; ids of a text depend on it alone, so repeated
-rows agree.
+rows agree; ties of rank merge leftmost first; a match of any length is encoded whole; an empty
+table gives an empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from tilewright.llm.mph import PerfectHash
 #: How a text is split before merging (the public pattern of this vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEEP = 500_000
+KEEP_CHARS = 16_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,7 +63,10 @@ class BytePairEncoder:
         for token, slot in zip(tokens, slots.tolist(), strict=True):
             self.slot_bytes[slot] = token
         self.slot_ids = np.array([ranks[x] for x in self.slot_bytes], np.int64)
-        self.token_of = {i: x for x, i in ranks.items()}
+        self.vocabulary: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            self.vocabulary[i] = token
+        self.numeral = [str(i) for i in range(len(self.vocabulary))]
         # (left id, right id) of every way to write a token as two tokens, as one integer.
         self.pairs = {}
         for token, i in ranks.items():
@@ -70,9 +77,10 @@ class BytePairEncoder:
         self.single = [ranks[bytes([x])] for x in range(256)]
         self.find = regex.compile(pattern).findall
         self.keep = keep
-        #: Two generations of answers: match -> (ids as text, number of ids, decoded bytes).
-        self.new: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
+        #: Two generations of answers, match -> ids, and the newer one's characters.
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     def whole(self, items: list[bytes]) -> np.ndarray:
         """Tier one: each item's id if it is a token as it stands, else -1."""
@@ -116,24 +124,22 @@ class BytePairEncoder:
     def _learn(self, matches: set[str]) -> None:
         """Answers for all these matches in the newer generation."""
         todo = [x for x in matches if x not in self.new]
-        if len(self.new) + len(todo) > self.keep:
+        size = sum(map(len, todo))
+        if len(self.new) + len(todo) > self.keep or self.chars + size > KEEP_CHARS:
             self.old, self.new = self.new, {}
             todo = list(matches)
+            self.chars, size = 0, sum(map(len, todo))
+        self.chars += size
         known = [x for x in todo if x in self.old]
         self.new.update((x, self.old[x]) for x in known)
         if len(known) < len(todo):
             fresh = [x for x in todo if x not in self.old] if known else todo
             raw = [x.encode() for x in fresh]
-            text, token = str, self.token_of
             for x, item, i in zip(fresh, raw, self.whole(raw).tolist(), strict=True):
-                if i >= 0:
-                    self.new[x] = (text(i), 1, item)
-                else:
-                    ids = self.merged(item)
-                    self.new[x] = (" ".join(map(text, ids)), len(ids), b"".join([token[j] for j in ids]))
-
-    def answers(self, many: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
-        """For each text, the answers for its matches; new matches of all texts are looked up together."""
+                self.new[x] = (i,) if i >= 0 else tuple(self.merged(item))
+
+    def encode_batch(self, many: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; new matches of all texts are looked up together."""
         split = [self.find(text) for text in many]
         every: set[str] = set()
         for matches in split:
@@ -141,13 +147,17 @@ class BytePairEncoder:
         self._learn(every)
         get = self.new.__getitem__
         for matches in split:
-            yield list(map(get, matches))
+            yield list(chain.from_iterable(map(get, matches)))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in next(self.answers([text])) for i in ids.split()]
+        return next(self.encode_batch([text]))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.token_of[i] for i in ids])
+        return b"".join(map(self.vocabulary.__getitem__, ids))
+
+    def as_text(self, ids: list[int]) -> str:
+        """Decimal ids, one space between."""
+        return " ".join(map(self.numeral.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -162,7 +172,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for batch in small_batches(batches, 256):
-            ids = [bpe.encode(x) for x in texts(batch["text"])]
+            ids = list(bpe.encode_batch(texts(batch["text"])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -174,12 +184,12 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in small_batches(batches, 512):
+        for batch in small_batches(batches, 256):
             counts, ids, decoded = [], [], []
-            for found in bpe.answers(texts(batch["text"])):
-                counts.append(sum([x[1] for x in found]))
-                ids.append(sha(" ".join([x[0] for x in found]).encode()))
-                decoded.append(sha(b"".join([x[2] for x in found])))
+            for found in bpe.encode_batch(texts(batch["text"])):
+                counts.append(len(found))
+                ids.append(sha(bpe.as_text(found).encode()))
+                decoded.append(sha(bpe.decode(found)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

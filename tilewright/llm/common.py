@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 300_000
 _own_dirs: list[str] = []
 _tables: list[str] = []
 
@@ -20,11 +22,14 @@ _tables: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests in one process) a temporary one is made.
+    Only a local session that names none gets a temporary one; on a cluster that would lose rows.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
     if not _own_dirs:
         _own_dirs.append(tempfile.mkdtemp(prefix="tilewright-"))
         atexit.register(shutil.rmtree, _own_dirs[0], ignore_errors=True)
@@ -99,5 +104,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if counted to be at most BROADCAST_ROWS short rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import written
+from tilewright.llm.common import small_or_shuffled, written
 from tilewright.llm.mph import PerfectHash
 
 SHARD_ROWS = 32_768
@@ -70,16 +70,16 @@ def _shard(shards: int):
     return F.pmod(F.xxhash64("digest"), F.lit(shards))
 
 
-def build_index(history: DataFrame, min_count: int = 1) -> Index:
-    """history: digests() of the documents seen so far.  min_count 2 leaves out texts seen once."""
+def build_index(history: DataFrame) -> Index:
+    """history: digests() of the documents seen so far; every distinct one gets a slot."""
     total = history.count()
-    groups = written(history.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count), "dedup-groups")
+    groups = written(history.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")), "dedup-groups")
     shards = max(1, math.ceil(total / SHARD_ROWS))
     groups = groups.withColumn("shard", _shard(shards))
     frame = groups.groupBy("shard").applyInArrow(_build_shard, _INDEX)
     # At most total / HOT_ROWS shards are hot: a few bytes for each quarter million rows.
     hot = groups.groupBy("shard").agg(F.ceil(F.sum("n") / HOT_ROWS).cast("int").alias("salts")).where("salts > 1")
-    return Index(frame, hot, shards)
+    return Index(frame, small_or_shuffled(written(hot, "dedup-hot")), shards)
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,35 +115,31 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def look_up(rows: DataFrame, index: Index) -> DataFrame:
     """(doc_id, digest, keep_id, group_size) of each row; the last two null for nonmembers."""
-    docs = rows.withColumn("shard", _shard(index.shards)).join(F.broadcast(index.hot), "shard", "left")
-    docs = docs.select("shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "digest", *(F.lit(None).cast("binary").alias(c) for c in ("mph", "digests", "winners", "counts")))
-    slots = index.frame.join(F.broadcast(index.hot), "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    # Salted by place, not by id: ids may be null or repeat.
+    docs = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("shard", _shard(index.shards)).join(index.hot, "shard", "left")
+    docs = docs.select("shard", F.pmod("place", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "digest", *(F.lit(None).cast("binary").alias(c) for c in ("mph", "digests", "winners", "counts")))
+    slots = index.frame.join(index.hot, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     slots = slots.select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), "mph", "digests", "winners", "counts")
     met = docs.unionByName(slots).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     return met.mapInArrow(_look_up, "doc_id long, digest binary, keep_id long, group_size long")
 
 
 def dedup(rows: DataFrame, index: Index) -> DataFrame:
-    """Rows of digests() against a history that holds them; nonmembers group separately.
+    """Rows of digests() against an index; nonmembers group separately, with map-side combining.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
-    found = look_up(rows, index)
-    member = F.col("group_size").isNotNull()
-    own = Window.partitionBy(F.when(~member, F.col("digest")), F.when(member, F.xxhash64("doc_id")))
-    return found.select(
-        "doc_id",
-        F.when(member, F.col("keep_id")).otherwise(F.max("doc_id").over(own)).alias("keep_id"),
-        F.when(member, F.col("group_size")).otherwise(F.count(F.lit(1)).over(own)).alias("group_size"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    ).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = written(look_up(rows, index), "dedup-found")
+    members, others = found.where("group_size is not null"), found.where("group_size is null").select("doc_id", "digest")
+    groups = others.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    every = members.unionByName(others.join(groups, "digest"))
+    return every.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document of docs: which document of its equal texts stays.
 
-    The history is the table itself: its repeated digests make the index, and what is not in
-    it groups apart (there, groups of one).
+    The history is the table itself: all its distinct digests make the index.
     """
     rows = written(digests(docs, id_col, text_col), "dedup-digests")
-    return dedup(rows, build_index(rows, min_count=2))
+    return dedup(rows, build_index(rows))

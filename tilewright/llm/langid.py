@@ -5,16 +5,19 @@ blank) in order.  Each language has one, from the counts over all learning texts
 the language whose profile is least out of place: the sum over its n-grams of the difference in
 rank, PROFILE for one that the language's profile lacks.
 
-Characters are folded to ten bits (scripts' letters rarely meet there), so an n-gram is a 32-bit
-number and a text's counts are one sort.
+A letter is its whole code point: three of 21 bits fit one 64-bit number, and as no code is 0 an
+n-gram's length shows in its number.  A text's counts are one sort.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or if nothing could be
 learned; ties go to the language first in the alphabet; rows without lang aren't learned from;
-repeated rows are learned as often as they come; an empty table gives an empty result.
+repeated rows are learned as often as they come; an empty table gives an empty result; columns
+besides those named are ignored; more than `LANGUAGES` different languages are an error, as a model
+of them all would not be bounded.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,33 +30,42 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tilewright.llm.common import bucket_of, small_batches, texts
 
 PROFILE = 400
+LANGUAGES = 10_000
 _FLUSH = 2_000_000
 
 
 @lru_cache(maxsize=1)
-def _folds() -> np.ndarray:
-    """For each code point 0 for a non-letter, else its ten bits (1 .. 1023)."""
+def _codes() -> np.ndarray:
+    """For each code point 1 (blank) for a non-letter, else the code point + 1."""
     points = np.arange(0x110000)
     letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    folded = (points ^ ((points >> 10) * 37)) % 1023 + 1
-    return np.where(letter, folded, 0).astype(np.uint32)
+    return np.where(letter, points + 1, 1).astype(np.int64)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text and their counts; none if it has no letter."""
-    codes = _folds()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    codes = np.r_[np.uint32(0), codes, np.uint32(0)]
-    x = codes[np.r_[True, (codes[1:] > 0) | (codes[:-1] > 0)]]
+    """The distinct n-grams of a text, as numbers, and their counts; none if it has no letter."""
+    codes = _codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    codes = np.r_[1, codes, 1]
+    x = codes[np.r_[True, (codes[1:] > 1) | (codes[:-1] > 1)]]
     if len(x) < 2:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    two = (x[:-1] << np.uint32(10)) | x[1:]
-    three = (two[:-1] << np.uint32(10)) | x[2:]
-    every = np.concatenate([x[x > 0], two | np.uint32(1 << 30), three | np.uint32(2 << 30)])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    two = (x[:-1] << 21) | x[1:]
+    three = (two[:-1] << 21) | x[2:]
+    every = np.concatenate([x[x > 1], two, three])
     every.sort()
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
     return every[first], np.diff(np.r_[first, len(every)])
 
 
+def letters(code: int) -> str:
+    """An n-gram's number as text, a blank for each non-letter."""
+    out = ""
+    while code:
+        point = (code & 0x1FFFFF) - 1
+        out, code = (chr(point) if point else " ") + out, code >> 21
+    return out
+
+
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The `size` most frequent n-grams, most frequent first, ties by code."""
     if len(codes) > 4 * size:
@@ -68,7 +80,7 @@ class Profiles:
     def __init__(self, ranks: dict[str, np.ndarray], size: int = PROFILE):
         self.names = sorted(ranks)
         self.size = size
-        self.codes = np.unique(np.concatenate([ranks[x] for x in self.names])) if ranks else np.zeros(0, np.uint32)
+        self.codes = np.unique(np.concatenate([ranks[x] for x in self.names])) if ranks else np.zeros(0, np.int64)
         self.ranks = np.full((len(self.names), len(self.codes) + 1), -1, np.int32)
         for row, name in zip(self.ranks, self.names, strict=True):
             row[np.searchsorted(self.codes, ranks[name])] = np.arange(len(ranks[name]))
@@ -87,45 +99,47 @@ class Profiles:
         return self.names[best], 1.0 - float(apart[best]) / (self.size * len(top))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return codes, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(codes)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names: list[str] = []
-    number: dict[str, int] = {}
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Counts of n-grams by language; what is held is added up, and given away where that is still too much."""
+    held: defaultdict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
     size = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
-
-    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        lang = pa.array([names[i] for i in (keys >> np.uint64(32)).tolist()], pa.string())
-        return pa.RecordBatch.from_arrays([lang, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts)], names=["lang", "code", "n"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            codes, counts = _merged(parts)
+            name = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(codes), np.int64)))
+            yield pa.RecordBatch.from_arrays([name, pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
     for batch in small_batches(batches):
         for lang, text in zip(batch["lang"].to_pylist(), texts(batch["text"]), strict=True):
-            codes, counts = grams(text)
-            if lang not in number:
-                number[lang] = len(names)
-                names.append(lang)
-            held.append((codes.astype(np.uint64) | np.uint64(number[lang] << 32), counts))
-            size += len(codes)
-        if size > _FLUSH:
-            held = [merged()]
-            size = len(held[0][0])
+            found = grams(text)
+            held[lang].append(found)
+            size += len(found[0])
             if size > _FLUSH:
-                yield rows(*held[0])
-                held, size = [], 0
-    if size:
-        yield rows(*merged())
+                for parts in held.values():
+                    parts[:] = [_merged(parts)]
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if size > _FLUSH // 2:
+                    yield from rows()
+                    held.clear()
+                    size = 0
+    yield from rows()
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> Profiles:
     """Profiles from all rows of docs with a language; what comes to the driver is size rows a language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    if (several := docs.agg(F.approx_count_distinct(lang_col)).first()[0]) > LANGUAGES:
+        raise ValueError(f"{several} different values are not languages")
     counts = rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).toPandas()
-    return Profiles({str(lang): part.sort_values("rank")["code"].to_numpy(np.uint32) for lang, part in top.groupby("lang")}, size)
+    return Profiles({str(lang): part.sort_values("rank")["code"].to_numpy(np.int64) for lang, part in top.groupby("lang")}, size)
 
 
 def language_column(profiles: Profiles, text: Column) -> Column:

@@ -1,13 +1,16 @@
 """Near duplicates through MinHash: signatures, candidates, exact verification.
 
 Items are distinct contents, named by a 128-bit digest (node, low).  An item has a signature, one
-smallest hash for each of K hash functions, and keys: prefixes of K's parts.  Items with a key in
-common form a run.  Runs are walked as sorted streams: a member is compared, by signature, with the
-run's pivots only, joins those that are at least `low` alike, and becomes a pivot itself unless one
-is at least `cover` alike.  Two similar members then are joined through a pivot near one of
-them, so components of ties hold the pairs that share a key.  A tie leaves the walk only where it joins
-what wasn't joined before, so a run of g members gives fewer than g.  Long runs are walked in
-parts, whose pivots meet in a second walk.
+smallest hash for each of K hash functions, and keys: the first values of each of K's parts.  Items with
+a key in common form a run.  In a forest the values after a key's are kept too, a byte each, and a
+run, in their order, is a sorted prefix trie: the items that share a longer prefix lie together.
+
+A run is walked in memory: an item not covered becomes a pivot, is compared by signature with the
+items left, ties those at least `low` alike, and covers those at least `cover` alike.  Two similar items
+then are joined through a pivot near one of them, so components of ties hold the pairs that share a
+key.  A tie leaves the walk only where it joins what wasn't joined before, so a run of g items
+gives fewer than g.  Long runs are walked in parts, very frequent keys are salted first; the parts' pivots
+meet in a second walk, and what a group of pivots still has in several parts is tied as it is.
 
 Within a component all pairs are verified on exact sets of shingles.  Components up to `BLOCK`
 items are one task's; larger ones are cut into blocks and every pair of blocks is verified, so no task
@@ -25,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import mix64, written
+from tilewright.llm.common import mix64, small_or_shuffled, written
 from tilewright.llm.union_find import components, roots
 
 #: Stored texts to the shingles of all, one text after another, and where each begins.
 Shingles = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 PART = 4096
-BLOCK = 512
-BROADCAST_ROWS = 300_000
+BLOCK = 256
+#: Keys are salted that are thought to have more items than this, as seen in about SEEN of them.
+HOT = 1_000_000
+SEEN = 50_000
+_CHUNK = 32_768
 
 
 class Hashes:
@@ -45,28 +51,44 @@ class Hashes:
 
     def signatures(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """flat: all sets' 64-bit shingles, none empty; starts: where each begins.  Rows: sets."""
-        x = (flat >> np.uint64(32)).astype(np.uint32)
-        y = flat.astype(np.uint32)
-        out = np.empty((len(self.a), len(starts)), np.uint32)
-        for row, a, b in zip(out, self.a, self.b, strict=True):
-            # Both halves take part, so sets of any size keep their ties apart.
-            np.minimum.reduceat((x ^ b) * a + y, starts, out=row)
-        return np.ascontiguousarray(out.T)
+        out = np.empty((len(starts), len(self.a)), np.uint32)
+        ends = np.r_[starts[1:], len(flat)]
+        lo = 0
+        while lo < len(starts):
+            # A few sets at a time, so that their shingles stay in the processor's cache.
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _CHUNK, "right")))
+            part, at = flat[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo]
+            x, y = (part >> np.uint64(32)).astype(np.uint32), part.astype(np.uint32)
+            h, some = np.empty_like(x), np.empty((len(self.a), hi - lo), np.uint32)
+            for row, a, b in zip(some, self.a, self.b, strict=True):
+                # Both halves take part, so sets of any size keep their ties apart.
+                np.bitwise_xor(x, b, out=h)
+                np.multiply(h, a, out=h)
+                np.add(h, y, out=h)
+                np.minimum.reduceat(h, at, out=row)
+            out[lo:hi] = some.T
+            lo = hi
+        return out
 
 
-def depth_for(threshold: float, trees: int, target: float, longest: int) -> int:
-    """The longest prefix at which a pair as alike as the threshold is met with the target probability.
+def recall(threshold: float, trees: int, depth: int) -> float:
+    """How likely a pair as alike as the threshold has a prefix of this length in common in some tree."""
+    return 1 - math.pow(1 - threshold**depth, trees)
 
-    From `longest` on, the matched prefix is shortened until the recall over all trees is enough.
-    """
+
+def shortest_prefix(threshold: float, trees: int, target: float, longest: int) -> int:
+    """The longest prefix at which even a pair just at the threshold is met with the target probability."""
     depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and recall(threshold, trees, depth) < target:
         depth -= 1
     return depth
 
 
 def prefix_keys(signatures: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A 64-bit key for each tree: its number and the first `depth` values of its part of the signature."""
+    """A 64-bit key for each tree: its number and the first `depth` values of its part of the signature.
+
+    The lowest bit is 0: it is for salted keys.
+    """
     n, k = signatures.shape
     part = k // trees
     out = np.empty((n, trees), np.uint64)
@@ -75,144 +97,165 @@ def prefix_keys(signatures: np.ndarray, trees: int, depth: int) -> np.ndarray:
         for d in range(depth):
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + signatures[:, t * part + d])
         out[:, t] = key
-    return out.view(np.int64)
+    return (out & ~np.uint64(1)).view(np.int64)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, int, list[np.ndarray | list]]]:
-    """Pieces of equal (key, part), in order; a run may come in several pieces."""
-    for batch in batches:
-        key, part = batch["key"].to_numpy(), batch["part"].to_numpy()
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-        values = [batch[c].to_pylist() for c in columns]
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-            if hi > lo:
-                yield int(key[lo]), int(part[lo]), [v[lo:hi] for v in values]
+def after_prefix(signatures: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """For each tree the values after the first `depth` of its part, a byte each, as a number that sorts as they do."""
+    n, k = signatures.shape
+    part = k // trees
+    out = np.zeros((n, trees), np.int64)
+    for t in range(trees):
+        for d in range(depth, part):
+            out[:, t] = out[:, t] << 8 | (signatures[:, t * part + d] >> np.uint32(24)).astype(np.int64)
+    return out
+
+
+class Forest:
+    """A forest's shape: trees of prefixes from `shortest` to `longest`, and the recall to reach."""
+
+    def __init__(self, threshold: float, trees: int, shortest: int, longest: int, target: float):
+        self.threshold, self.trees, self.shortest, self.longest, self.target = threshold, trees, shortest, longest, target
+
+    def matched(self, sigs: np.ndarray) -> int:
+        """The prefix length for the items of one sorted trie.
+
+        Starting from the longest, the matched prefix is shortened until the pairs as alike as those
+        seen here are met with the target probability over all trees.  Seen are neighbours in the
+        trie; a pair alike by s shares this trie with probability s ** shortest, so it stands for as many more.
+        """
+        seen = [np.zeros(0)]
+        for apart in range(1, min(5, len(sigs))):
+            alike = (sigs[apart:] == sigs[:-apart]).mean(axis=1)
+            # Bytes of different values are equal once in 256 times.
+            seen.append(np.maximum((alike - 1 / 256) / (1 - 1 / 256), 0))
+        s = np.concatenate(seen)
+        s = s[s >= self.threshold]
+        if not len(s):
+            return self.shortest
+        weight = s**-self.shortest
+        depth = self.longest
+        while depth > self.shortest and weight @ (1 - (1 - s**depth) ** self.trees) < self.target * weight.sum():
+            depth -= 1
+        return depth
+
+    def subtries(self, rest: np.ndarray, depth: int) -> np.ndarray:
+        """Where groups with a prefix of this length begin in a run in order, and its end."""
+        prefix = rest >> (8 * (self.longest - depth))
+        return np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1], True])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) in order of key to (key, part, node) of the distinct nodes of runs with two or more.
+    """Rows (key, rest, node) in order of key and rest to (key, part, rest, node) of the distinct nodes of runs with two or more.
 
     Nodes are put in order within a batch; one that comes again in a run's next batch counts again.
     """
-    last_key = last_node = None
-    count = 0
+    last: tuple[int, int, int, int] | None = None
     for batch in batches:
-        key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
+        key, rest, node = (batch[c].to_numpy() for c in ("key", "rest", "node"))
         if not len(key):
             continue
         same = key[1:] == key[:-1]
         again = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-        node = node.copy()
-        node[again] = node[again][np.lexsort((node[again], key[again]))]
-        before = (last_key, last_node, count)
-        new_key = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
-        fresh = new_key | np.r_[last_key is None or node[0] != last_node, node[1:] != node[:-1]]
+        node, rest = node.copy(), rest.copy()
+        order = again[np.lexsort((node[again], rest[again], key[again]))]
+        node[again], rest[again] = node[order], rest[order]
+        new_key = np.r_[last is None or key[0] != last[0], key[1:] != key[:-1]]
+        fresh = new_key | np.r_[last is None or node[0] != last[2], node[1:] != node[:-1]]
         starts = np.flatnonzero(new_key)
         # Number of each distinct node within its run, going on from the batch before.
         n = np.cumsum(fresh)
-        base = np.zeros(len(key), np.int64)
         run = np.cumsum(new_key)
-        first_of = np.r_[0, n[starts] - 1]
-        base = first_of[run]
-        place = n - 1 - base
-        place[run == 0] += count
-        last_key, last_node, count = int(key[-1]), int(node[-1]), int(place[-1]) + 1
+        place = n - 1 - np.r_[0, n[starts] - 1][run]
+        if last is not None:
+            place[run == 0] += last[3]
         out = fresh & (place >= 1)
-        k, p, v = key[out], place[out], node[out]
         # The first member of a run is sent along with the second.
         second = np.flatnonzero(out & (place == 1))
-        head_rows = starts[run[second] - 1] if len(starts) else np.zeros(0, np.int64)
-        heads = np.where(run[second] == 0, np.int64(before[1] or 0), node[head_rows] if len(second) else np.int64(0))
-        keys = np.r_[k, key[second]]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.r_[p // PART, np.zeros(len(second), np.int64)].astype(np.int32)), pa.array(np.r_[v, heads])], names=["key", "part", "node"])
+        before = run[second] == 0
+        first = starts[np.maximum(run[second], 1) - 1] if len(starts) else np.zeros(len(second), np.int64)
+        head_rest = np.where(before, last[1] if last else 0, rest[first])
+        head_node = np.where(before, last[2] if last else 0, node[first])
+        last = (int(key[-1]), int(rest[-1]), int(node[-1]), int(place[-1]) + 1)
+        columns = [np.r_[key[out], key[second]], np.r_[place[out] // PART, np.zeros(len(second), np.int64)].astype(np.int32), np.r_[rest[out], head_rest], np.r_[node[out], head_node]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "rest", "node"])
 
 
 class _Walk:
-    """One run's pivots, and which of them are joined."""
-
-    def __init__(self, width: int):
-        self.names: list[int] = []
-        self.sigs = np.zeros((4, width), np.uint8)
-        self.label = np.zeros(4, np.int64)
-
-    def pivot(self, node: int, sig: np.ndarray) -> int:
-        n = len(self.names)
-        if n == len(self.sigs):
-            self.sigs = np.concatenate([self.sigs, np.zeros_like(self.sigs)])
-            self.label = np.concatenate([self.label, np.zeros_like(self.label)])
-        self.sigs[n], self.label[n] = sig, n
-        self.names.append(node)
-        return n
-
-    def alike(self, rows: np.ndarray) -> np.ndarray:
-        return np.stack([(rows == p).mean(axis=1) for p in self.sigs[: len(self.names)]], axis=1)
-
-    def join(self, node: int, near: np.ndarray) -> list[tuple[int, int]]:
-        """Ties for a member that is near some pivots: one to it, and one for each further group of pivots it joins."""
-        label = self.label[: len(self.names)]
-        groups, first = np.unique(label[near], return_index=True)
-        for g in groups[1:].tolist():
-            label[label == g] = groups[0]
-        return [(node, self.names[near[i]]) for i in first.tolist()]
-
-
-def _cover(low: float, cover: float):
-    """Sorted (key, part, node, sig) rows to ties (a, b), and the pivots of parts of long runs."""
+    """Items of one run, in order: their ties, and the pivots that are left."""
+
+    def __init__(self, sigs: np.ndarray):
+        self.sigs = sigs
+        self.label = np.arange(len(sigs))
+        self.ties: list[tuple[int, int]] = []
+
+    def cover(self, left: np.ndarray, low: float, cover: float) -> list[int]:
+        width, pivots = self.sigs.shape[1], []
+        while len(left):
+            p = left[0]
+            alike = np.count_nonzero(self.sigs[left] == self.sigs[p], axis=1) / width
+            alike[0] = 1.0
+            near = left[alike >= low]
+            groups, first = np.unique(self.label[near], return_index=True)
+            for g, at in zip(groups.tolist(), first.tolist(), strict=True):
+                if g != self.label[p]:
+                    self.ties.append((int(p), int(near[at])))
+            if len(groups) > 1:
+                self.label[np.isin(self.label, groups)] = groups[0]
+            pivots.append(int(p))
+            left = left[alike < cover]
+        return pivots
+
+
+def _cover(low: float, cover: float, forest: Forest | None, goes_on: Callable[[int, int, int], bool]):
+    """(key, part, rest, node, sig) rows, sorted, to ties (a, b), and the pivots of the parts that go on.
+
+    goes_on: of a run's key, part and number of rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, walk, size = None, None, 0
         out: list[tuple[int | None, int, int | None, bytes | None]] = []
-
-        def done() -> None:
-            if here is not None and (here[1] > 0 or size >= PART):
-                out.extend((here[0], name, None, sig.tobytes()) for name, sig in zip(walk.names, walk.sigs, strict=False))
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            """The batches without the runs of two that lie in one batch whole, which are judged at once."""
-            for batch in batches:
-                key, part, node = (batch[c].to_numpy() for c in ("key", "part", "node"))
-                edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
-                # Not the first and last run, which may go on in other batches, nor parts of longer runs.
-                two = edge[1:-2][np.diff(edge)[1:-1] == 2] if len(edge) > 3 else edge[:0]
-                two = two[part[two] == 0]
-                if len(two):
-                    sig = np.frombuffer(b"".join(batch["sig"].take(pa.array(np.r_[two, two + 1])).to_pylist()), np.uint8).reshape(2, len(two), -1)
-                    near = two[(sig[0] == sig[1]).mean(axis=1) >= low]
-                    out.extend((None, a, b, None) for a, b in zip(node[near].tolist(), node[near + 1].tolist(), strict=True))
-                rest = np.ones(len(key), bool)
-                rest[two] = rest[two + 1] = False
-                yield batch.filter(pa.array(rest)) if len(two) else batch
-
-        for key, part, (nodes, sigs) in _streams(pairs(), ["node", "sig"]):
-            rows = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
-            if (key, part) != here:
-                done()
-                here, walk, size = (key, part), _Walk(rows.shape[1]), 0
-            size += len(nodes)
-            at = 0
-            while at < len(nodes):
-                if not walk.names:
-                    walk.pivot(nodes[at], rows[at])
-                    at += 1
+        held: list[pa.RecordBatch] = []
+
+        def walk(table: pa.Table, edge: np.ndarray) -> None:
+            """The parts that lie between these edges."""
+            if len(edge) < 2:
+                return
+            key, part, rest, node = (table[c].to_numpy()[: edge[-1]] for c in ("key", "part", "rest", "node"))
+            sigs = np.frombuffer(b"".join(table["sig"].slice(0, edge[-1]).to_pylist()), np.uint8).reshape(edge[-1], -1)
+            sizes = np.diff(edge)
+            # Runs of two are judged at once.
+            two = edge[:-1][(sizes == 2) & np.array([not goes_on(int(key[e]), int(part[e]), 2) for e in edge[:-1].tolist()])]
+            near = two[(sigs[two] == sigs[two + 1]).mean(axis=1) >= low] if len(two) else two
+            out.extend((None, a, b, None) for a, b in zip(node[near].tolist(), node[near + 1].tolist(), strict=True) if a != b)
+            judged = set(two.tolist())
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if lo in judged:
                     continue
-                # The next ones against the pivots so far, up to the next that becomes one.
-                block = rows[at : at + 256]
-                alike = walk.alike(block)
-                alone = np.flatnonzero(alike.max(axis=1) < cover)
-                stop = int(alone[0]) + 1 if len(alone) else len(block)
-                near = alike[:stop] >= low
-                for i in np.flatnonzero(near.any(axis=1)).tolist():
-                    js = np.flatnonzero(near[i])
-                    if len(alone) and i == stop - 1:
-                        js = np.append(js, walk.pivot(nodes[at + i], block[i]))
-                    out.extend((None, a, b, None) for a, b in walk.join(nodes[at + i], js) if a != b)
-                if len(alone) and not near[stop - 1].any():
-                    walk.pivot(nodes[at + stop - 1], block[stop - 1])
-                at += stop
+                items = _Walk(sigs[lo:hi])
+                cuts = forest.subtries(rest[lo:hi], forest.matched(items.sigs)) if forest else np.array([0, hi - lo])
+                pivots = []
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    pivots += items.cover(np.arange(a, b), low, cover)
+                out.extend((None, int(node[lo + a]), int(node[lo + b]), None) for a, b in items.ties if node[lo + a] != node[lo + b])
+                if goes_on(int(key[lo]), int(part[lo]), hi - lo):
+                    out.extend((int(key[lo]), int(node[lo + p]), None, items.sigs[p].tobytes()) for p in pivots)
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            key, part = table["key"].to_numpy(), table["part"].to_numpy()
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else np.zeros(1, np.int64)
+            # The last part may go on in the next batch.
+            walk(table, edge)
+            held = table.slice(int(edge[-1])).to_batches()
             if len(out) > 50_000:
                 yield _ties(out)
                 out = []
-        done()
+        if held:
+            table = pa.Table.from_batches(held)
+            if table.num_rows:
+                walk(table, np.array([0, table.num_rows]))
         yield _ties(out)
 
     return run
@@ -226,22 +269,59 @@ def _ties(rows: list[tuple]) -> pa.RecordBatch:
 _TIES = "key long, a long, b long, sig binary"
 
 
-def candidate_components(items: DataFrame, low: float, cover: float) -> DataFrame:
-    """(node, root) of items (node long, keys array<long>, sig binary) that are tied to another.
+def _salted(items: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """pairs with very frequent keys replaced by several, and which key each of these stands for.
+
+    Only how rows are dealt depends on the sample: a key in at least one of 800 items is found
+    in it, so there are at most 800 a tree.
+    """
+    every = max(1, items.count() // SEEN)
+    if every * SEEN <= HOT:
+        return pairs, None
+    frequent = pairs.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).groupBy("key").count()
+    frequent = frequent.where((F.col("count") >= SEEN // 800) & (F.col("count") * every > HOT)).select("key", F.ceil(F.col("count") * every / HOT).cast("int").alias("salts"))
+    frequent = small_or_shuffled(written(frequent, "frequent-keys"))
+    salted = lambda key, salt: F.xxhash64(key, salt).bitwiseOR(F.lit(1))
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    dealt = pairs.join(frequent, "key", "left").withColumn("key", F.when(F.col("salts").isNull(), F.col("key")).otherwise(salted("key", salt))).drop("salts")
+    stands = frequent.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(salted("key", "salt").alias("key"), F.col("key").alias("group"))
+    return dealt, written(stands, "salted-keys")
+
+
+def candidate_components(items: DataFrame, low: float, cover: float, forest: Forest | None = None) -> DataFrame:
+    """(node, root) of items (node long, keys array<long>, sig binary; of a forest also rest array<long>) that are tied to another.
 
     An item may come several times, but only a few: keys of one item are expected once a task.
     """
-    pairs = items.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    # One numeric sort key: Spark sorts it by radix.
-    runs = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "key long, part int, node long")
+    keyed = items.where("keys is not null")
+    if forest:
+        pairs = keyed.select(F.inline(F.arrays_zip("keys", "rest")).alias("key", "rest"), "node")
+    else:
+        pairs = keyed.select(F.explode("keys").alias("key"), F.lit(0).cast("long").alias("rest"), "node")
+    pairs, stands = _salted(keyed, pairs)
+    order = ["key", "rest"] if forest else ["key"]
+    runs = pairs.repartition("key").sortWithinPartitions(*order).mapInArrow(_runs, "key long, part int, rest long, node long")
     runs = written(runs, "runs")
-    sigs = items.where("keys is not null").select("node", "sig").join(runs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    met = runs.join(sigs, "node").select("key", "part", "node", "sig")
-    first = written(met.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_cover(low, cover), _TIES), "ties")
-    again = first.where("b is null").select("key", F.lit(0).alias("part"), F.col("a").alias("node"), "sig")
-    second = again.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_cover(low / 2, cover), _TIES)
-    ties = first.where("b is not null").select("a", "b").unionByName(second.where("b is not null").select("a", "b"))
-    return components(ties)
+    sigs = keyed.select("node", "sig").join(runs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    met = runs.join(sigs, "node").select("key", "part", "rest", "node", "sig")
+    walk = _cover(low, cover, forest, lambda key, part, n: bool(key & 1) or part > 0 or n >= PART)
+    first = written(met.repartition("key", "part").sortWithinPartitions("key", "part", "rest", "node").mapInArrow(walk, _TIES), "ties")
+    ties = first.where("b is not null").select("a", "b")
+    left = first.where("b is null").select("key", F.col("a").alias("node"), "sig")
+    if left.isEmpty():
+        return components(ties)
+    if stands is not None:
+        left = left.join(stands, "key", "left").select(F.coalesce("group", "key").alias("key"), "node", "sig")
+    left = written(left, "pivots")
+    sizes = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    part = F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")
+    met = left.join(small_or_shuffled(written(sizes, "pivot-parts")), "key").select("key", part.alias("part"), F.lit(0).cast("long").alias("rest"), "node", "sig")
+    # Pivots stand for items up to 1 - cover away from them, on either side.
+    walk = _cover(max(0.0, low - (1 - cover)), 0.6, None, lambda key, part, n: part >= 0)
+    second = written(met.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(walk, _TIES), "ties")
+    last = second.where("b is null").select("key", "a")
+    star = last.join(last.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b").select("a", "b")
+    return components(ties.unionByName(second.where("b is not null").select("a", "b")).unionByName(star))
 
 
 def shared(flat: np.ndarray, owner: np.ndarray, n: int, light: int = 16, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -361,21 +441,9 @@ def verified(items: DataFrame, shingles: Shingles, threshold: float) -> DataFram
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "low"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("root", "node", "low", "weight", "z", "block", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    # By ranges, which give a large group a task of its own.
+    dealt = rows.repartitionByRange("root", "i", "j").sortWithinPartitions("root", "i", "j")
     found = written(dealt.mapInArrow(_verify(shingles, threshold), _VERIFY), "verified")
     final = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node", "low").agg(F.sum("links").alias("links"))
     return links.join(final, "node", "left").select("node", "low", "links", F.coalesce("root", "node").alias("root"))
-
-
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if counted to be at most BROADCAST_ROWS short rows, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def hash_count(trees: int, depth: int) -> int:
-    return trees * depth
-
-
-def recall(threshold: float, trees: int, depth: int) -> float:
-    return 1 - math.pow(1 - threshold**depth, trees)

@@ -48,7 +48,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.decide(documents(spark, sf_dir), threshold=0.8, size=line_dedup.SHORT)
+    return line_dedup.decide(documents(spark, sf_dir), threshold=0.8, size=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
