@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import exact_dedup, langid, ngram_join, packing, toxicity
 from tilewright.llm.common import documents, labels, release, tables, written
-from tilewright.llm.minhash import small_or_shuffled
+from tilewright.llm.common import small_or_shuffled
 
 #: A text this unlike every language's profile (0: entirely) is in none of them.
 LEAST_LIKE = 0.2
