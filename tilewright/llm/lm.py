@@ -2,27 +2,31 @@
 
 The model.  A text is its words and one end.  The root state has an arc for every word seen in
 learning, weight log10 P1(word), P1 = (count - D) / N, and one for all others with the mass that
-the discount D frees.  Every n-gram that is a context seen in learning is a state u: it has an arc
-for each continuation w seen, weight log10 (c(u, w) + m P(w | shorter)) / (c(u) + m), and a failure
-arc, weight log10 m / (c(u) + m), to the state of the shorter context.  m = MASS * c(u) ** b stands
-for the context's distinct continuations (one after one occurrence, ever fewer new ones later); b, of
-each order, is such that c(u) ** b, summed over all contexts, is the number of distinct n-grams.  One traversal from left to right carries the
-state, takes arcs, or failure arcs until there is one, and adds the weights.
+the discount D frees.  Every n-gram that is a context seen in learning is a state u, texts' starts among
+them: it has an arc for each continuation w seen, weight log10 (c(u, w) + m P(w | shorter)) / (c(u) + m),
+to the state of the longest context that u and w end in, and a failure arc, weight log10 m / (c(u) + m),
+to the state of the shorter context.  m = MASS * c(u) ** b stands for the context's distinct
+continuations (one after one occurrence, ever fewer new ones later); b, of each order, is such that
+c(u) ** b, summed over all contexts, is the number of distinct n-grams.  One traversal from left to
+right carries the state: at each word it takes the arc, or failure arcs until there is one, and adds
+the weights.
 
 At scale neither model nor texts fit one machine, and every count covers the whole corpus:
-  1. Where texts are read they become blocks of about `BLOCK` tokens, written as word numbers.  From
-     these comes, for each shard of the 64-bit n-gram space, a packet: the sorted hashes of the
-     block's distinct n-grams and their counts in learning.
+  1. Where texts are read they become blocks of about `BLOCK` tokens, written as word numbers; a longer
+     text goes on in the next block, after the words that are its context.  From these comes, for each
+     shard of the 64-bit n-gram space, a packet: the sorted hashes of the block's distinct n-grams
+     and their counts in learning.
   2. Each shard adds up its packets and answers each with the corpus totals, in the packet's order.
-     Its sums of counts give N, V and the discounts.
+     Its sums of counts, added up in Spark, give N, V and the discounts.
   3. Each block, with its answers, builds the part of the automaton that its texts can reach, and
-     traverses it.
+     traverses it, many texts abreast; long texts in lanes, each of which first reads the words
+     that are its context, which is all that a state knows.
 Hashes spread evenly, so frequent words and repeated texts load no task more than others.  Sorted
 hashes cost about five bytes, totals less than one.
 
 Defined results: a null or empty text is its end alone; with nothing to learn from, all
 probabilities are 1 (score 0); a null id is learned from; repeated rows count as often as they
-come; an empty table gives an empty result.
+come; an empty table gives an empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +46,11 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import bucket_of, mix64, small_batches, text_bytes, written
 
 BLOCK = 1_500_000
+LANE = 512
 SHARD_BYTES = 16_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
-_ORDER_BITS = np.uint64(3)
+_ORDER_BITS = np.uint64(7)
 _POWERS = np.linspace(0, 1, 41)
 MASS = 4.0
 
@@ -77,21 +82,26 @@ def _unpress_sorted(blob: bytes) -> np.ndarray:
 
 
 class Block:
-    """Some documents as one run of word numbers, each document's end included."""
+    """Pieces of documents as one run of word numbers, each document's end included."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, words: np.ndarray, train: np.ndarray):
-        """words: 64-bit hashes by number; lengths and train: of each document."""
-        self.ids, self.lengths, self.words, self.train = ids, lengths, words, train
-        starts = np.cumsum(lengths) - lengths
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, skips: np.ndarray, words: np.ndarray, train: np.ndarray):
+        """words: 64-bit hashes by number; lengths, skips and train: of each piece.
+
+        A piece that goes on with a text begins with `skip` words that are context only; a text's first has none.
+        """
+        self.ids, self.lengths, self.skips, self.words, self.train = ids, lengths, skips, words, train
+        self.starts = np.cumsum(lengths) - lengths
         self.first = np.zeros(len(ids), bool)
-        self.first[starts] = True
-        #: Position within the document.
-        self.place = (np.arange(len(ids)) - np.repeat(starts, lengths)).astype(np.int32)
+        self.first[self.starts] = True
+        place = np.arange(len(ids)) - np.repeat(self.starts, lengths)
+        #: Whether a token is the piece's own, and how many tokens before it are known, a text's start among them.
+        self.own = place >= np.repeat(skips, lengths)
+        self.known = place + np.repeat(skips == 0, lengths)
 
     def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each n up to order: (distinct n-grams as 64-bit keys, the number of the one that ends at each position).
 
-        A document's first word is preceded by a start; where an n-gram would reach before it, the
+        A document's first word is preceded by a start; where an n-gram would reach before what is known, the
         number is -1.
         """
         named = lambda keys, n: (keys & ~_ORDER_BITS) | np.uint64(n)
@@ -103,44 +113,56 @@ class Block:
         for n in range(2, order + 1):
             context = shorter if n == 2 else np.r_[np.uint64(0), shorter[:-1]]
             shorter = mix64(context * np.uint64(0xD1342543DE82EF95) + h)
-            keys, number = np.unique(named(shorter, n), return_inverse=True)
-            number = number.astype(np.int32)
-            number[self.place < n - 2] = -1
+            whole = self.known >= n - 1
+            keys, inverse = np.unique(named(shorter[whole], n), return_inverse=True)
+            number = np.full(len(h), -1, np.int32)
+            number[whole] = inverse
             out.append((keys, number))
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Block, pa.Array]]:
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int, order: int) -> Iterator[tuple[Block, pa.Array, np.ndarray]]:
+    """Blocks, and of each piece the doc_id and the number of its row."""
     number: defaultdict[bytes, int] = defaultdict()
+    ids: list[np.ndarray] = []
+    doc_ids: list[int | None] = []
+    rows: list[int] = []
+    held: list[bool] = []
+    skips: list[int] = []
 
     def fresh() -> None:
-        number.clear()
+        for x in (number, ids, doc_ids, rows, held, skips):
+            x.clear()
         number.default_factory = number.__len__
         number[b"\n"]  # the end; no word is a line break
 
-    fresh()
-    ids: list[np.ndarray] = []
-    doc_ids: list[int | None] = []
-    held: list[bool] = []
-    size = 0
-
-    def done() -> tuple[Block, pa.Array]:
+    def done() -> tuple[Block, pa.Array, np.ndarray]:
         words = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
         words[0] = _END
-        return Block(np.concatenate(ids), np.array([len(x) for x in ids], np.int64), words, ~np.array(held, bool)), pa.array(doc_ids, pa.int64())
+        lengths = np.array([len(x) for x in ids], np.int64)
+        return Block(np.concatenate(ids), lengths, np.array(skips, np.int64), words, ~np.array(held, bool)), pa.array(doc_ids, pa.int64()), np.array(rows, np.int64)
 
+    fresh()
+    size, row = 0, TaskContext.get().partitionId() << 32
     for batch in small_batches(batches):
         for doc_id, text, out in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["held_out"].to_pylist(), strict=True):
             found = tokens(text)
             found.append(b"\n")
-            ids.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
-            doc_ids.append(doc_id)
-            held.append(out)
-            size += len(found)
-            if size >= limit:
-                yield done()
-                fresh()
-                ids, doc_ids, held, size = [], [], [], 0
+            at, row = 0, row + 1
+            while at < len(found):
+                # A text's first piece is at least a context long, so that what goes on has a whole one.
+                stop, begin = min(len(found), at + max(limit - size, order)), max(0, at - order + 1)
+                part = found[begin:stop]
+                ids.append(np.fromiter(map(number.__getitem__, part), np.int32, len(part)))
+                doc_ids.append(doc_id)
+                rows.append(row)
+                held.append(out)
+                skips.append(at - begin)
+                size, at = size + stop - at, stop
+                if size >= limit:
+                    yield done()
+                    fresh()
+                    size = 0
     if ids:
         yield done()
 
@@ -151,24 +173,24 @@ def _edges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, cuts), len(keys)].astype(np.int64)
 
 
-_BLOCKS = "block long, doc_ids binary, lengths binary, train binary, ids binary, words binary"
+_BLOCKS = "block long, doc_ids binary, rows binary, lengths binary, skips binary, train binary, ids binary, words binary"
 
 
-def _to_blocks(limit: int):
+def _to_blocks(limit: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (block, doc_ids) in enumerate(_blocks(batches, limit)):
+        for k, (block, doc_ids, rows) in enumerate(_blocks(batches, limit, order)):
             number = TaskContext.get().partitionId() << 32 | k
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())])) as out:
                 out.write_batch(pa.RecordBatch.from_arrays([doc_ids], names=["doc_id"]))
-            row = [sink.getvalue().to_pybytes(), _press(block.lengths), _press(block.train.astype(np.uint8)), _press(block.ids), _press(block.words)]
+            row = [sink.getvalue().to_pybytes(), *map(_press, (rows, block.lengths, block.skips, block.train.astype(np.uint8), block.ids, block.words))]
             yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in row)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
     return run
 
 
 def _read(row: dict) -> Block:
-    return Block(_unpress(row["ids"]), _unpress(row["lengths"]), _unpress(row["words"]), _unpress(row["train"]).astype(bool))
+    return Block(*(_unpress(row[x]) for x in ("ids", "lengths", "skips", "words")), _unpress(row["train"]).astype(bool))
 
 
 _PACKETS = "block long, shard int, keys binary, counts binary"
@@ -179,7 +201,7 @@ def _to_packets(shards: int, order: int):
         for batch in small_batches(batches, 1):
             row = batch.to_pylist()[0]
             block = _read(row)
-            learned = np.repeat(block.train, block.lengths)
+            learned = np.repeat(block.train, block.lengths) & block.own
             grams = block.grams(order)
             keys = np.concatenate([k for k, _ in grams])
             counts = np.concatenate([np.bincount(at[learned & (at >= 0)], minlength=len(k)) for k, at in grams]).astype(np.uint32)
@@ -193,7 +215,7 @@ def _to_packets(shards: int, order: int):
     return run
 
 
-_TOTALS = "block long, shard int, totals binary, sums binary"
+_TOTALS = "block long, shard int, totals binary, sums array<double>"
 
 
 def _add_up(order: int):
@@ -211,7 +233,7 @@ def _add_up(order: int):
         spread = [np.unique(t, return_counts=True) for t in by_order]
         sums = np.array([[t.sum(), (t == 1).sum(), (t == 2).sum(), len(t), *(c @ (v[:, None].astype(np.float64) ** _POWERS))] for t, (v, c) in zip(by_order, spread, strict=True)], np.float64)
         # One row more, without a block, for what is summed over shards.
-        return pa.table({"block": pa.array([*table["block"].to_pylist(), None], pa.int64()), "shard": pa.array([table["shard"][0].as_py()] * (len(answers) + 1), pa.int32()), "totals": pa.array([*answers, None], pa.binary()), "sums": pa.array([*[None] * len(answers), sums.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([*table["block"].to_pylist(), None], pa.int64()), "shard": pa.array([table["shard"][0].as_py()] * (len(answers) + 1), pa.int32()), "totals": pa.array([*answers, None], pa.binary()), "sums": pa.array([*[None] * len(answers), sums.reshape(-1)], pa.list_(pa.float64()))})
 
     return run
 
@@ -222,7 +244,8 @@ class Weights:
     def __init__(self, sums: np.ndarray):
         """sums: for each order, tokens, n-grams seen once, twice, at all, and their counts' powers."""
         self.n, once, twice, self.v = (int(x) for x in sums[0][:4])
-        self.discount = once / (once + 2 * twice) if once else 0.5
+        # All words seen once would leave nothing to words seen.
+        self.discount = min(once / (once + 2 * twice), 0.95) if once else 0.5
         self.unknown = self.discount * self.v / self.n if self.n else 1.0
         #: For orders 2 and on: the power of a context's count that is its distinct continuations.
         self.power = [float(np.interp(sums[k][3], sums[k - 1][4:], _POWERS)) for k in range(1, len(sums))]
@@ -231,51 +254,113 @@ class Weights:
 class Automaton:
     """The states and arcs that a block's n-grams reach.
 
-    root[p]: weight of the root's arc for the word at p;
-    arc[n][i]: weight of the arc that the (n+2)-gram numbered i is; arc_at[n][p]: the number of
-    the one that may be taken at p, or -1 if it was not learned;
-    fail[n][p]: weight of the failure arc of the n+1-word context before p.
+    State 0 is the root, 1 a text's start; after them come the block's distinct words, pairs and so on
+    that were learned and are shorter than the order.  fall_to and fall: each state's failure arc and
+    its weight.  root and root_to: weight and goal of the root's arc for each word.  All other arcs are
+    found by `key`, state * words + word, in order; weight and to are theirs.
     """
 
     def __init__(self, block: Block, grams: list[tuple[np.ndarray, np.ndarray]], totals: list[np.ndarray], w: Weights):
         """totals: for each order, the corpus count of each distinct n-gram of the block."""
-        words = totals[0].astype(np.float64)
-        seen = words > 0
-        p = np.where(seen, np.maximum(words - w.discount, 1e-9) / max(w.n, 1), w.unknown)[block.ids]
+        self.block, self.order, self.words = block, len(grams), max(1, len(block.words))
+        counts = [t.astype(np.float64) for t in totals]
+        seen = counts[0] > 0
+        p = np.where(seen, np.maximum(counts[0] - w.discount, 1e-9) / max(w.n, 1), w.unknown)
+        base = np.cumsum([2, *map(len, counts[:-1])]).tolist()
         self.root = np.log10(p)
+        self.root_to = np.where(seen & (self.order > 1), base[0] + np.arange(len(seen)), 0)
         # As many texts were learned as ends, so as many starts.
-        starts = float(words[0]) if len(words) else 0.0
-        self.arc, self.arc_at, self.fail = [], [], []
-        count = words[block.ids]
-        for k in range(1, len(grams)):
-            at = grams[k][1]
-            context = np.r_[0.0, count[:-1]]
-            context[block.place < k] = starts if k == 1 else 0.0
-            m = MASS * np.maximum(context, 1.0) ** w.power[k - 1]
-            self.fail.append(np.log10(m / (context + m)))
-            count = np.where(at >= 0, totals[k].astype(np.float64)[at], 0.0)
-            p = (count + m * p) / (context + m)
-            taken = count > 0
-            # An arc's weight is a property of its n-gram: it is set from any place that has it.
-            arc = np.zeros(len(totals[k]))
-            arc[at[taken]] = np.log10(p[taken])
-            self.arc.append(arc)
-            self.arc_at.append(np.where(taken, at, -1))
-
-    def traverse(self) -> np.ndarray:
-        """log10 probability of each token: failure arcs down from the longest context, then an arc."""
-        out = self.root.copy()
-        done = np.zeros(len(out), bool)
-        fallen = np.zeros(len(out))
-        for arc, at, fail in zip(reversed(self.arc), reversed(self.arc_at), reversed(self.fail), strict=True):
-            here = ~done & (at >= 0)
-            out[here] = fallen[here] + arc[at[here]]
-            done |= here
-            fallen += np.where(done, 0.0, fail)
-        return np.where(done, out, fallen + out)
-
-
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        starts = float(counts[0][0]) if len(seen) else 0.0
+        self.fall, self.fall_to = np.zeros(base[-1]), np.zeros(base[-1], np.int64)
+        mass = lambda count, n: MASS * np.maximum(count, 1.0) ** w.power[n - 1]
+        # States by the length of their context; those that weren't learned are never entered.
+        if self.order > 1:
+            self.fall[1] = np.log10(mass(starts, 1) / (starts + mass(starts, 1)))
+        keys, weights, goals = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for n in range(1, self.order):
+            # Any place of each n-gram: its own goal, and its suffix, are the same at all of them.
+            m = mass(counts[n - 1], n)
+            span = slice(base[n - 1], base[n - 1] + len(m))
+            self.fall[span] = np.log10(m / (counts[n - 1] + m))
+            if n > 1:
+                at = self._places(grams[n - 1])
+                self.fall_to[span] = base[n - 2] + grams[n - 2][1][at]
+            at = self._places(grams[n])
+            taken = np.flatnonzero(counts[n] > 0)
+            at = at[taken]
+            opens = (block.known[at] == n) & (np.repeat(block.skips == 0, block.lengths)[at]) if n == 1 else np.zeros(len(at), bool)
+            before = grams[n - 1][1][np.maximum(at - 1, 0)]
+            context = np.where(opens, starts, counts[n - 1][before])
+            m = mass(context, n)
+            longer = np.zeros(len(counts[n]))
+            longer[taken] = (counts[n][taken] + m * p[grams[n - 1][1][at]]) / (context + m)
+            p = longer
+            keys.append(np.where(opens, 1, base[n - 1] + before) * self.words + block.ids[at])
+            weights.append(np.log10(p[taken]))
+            goals.append(base[n] + taken if n < self.order - 1 else base[n - 1] + grams[n - 1][1][at])
+        key = np.concatenate(keys)
+        rank = np.argsort(key)
+        self.key, self.weight, self.to = key[rank], np.concatenate(weights)[rank], np.concatenate(goals)[rank]
+
+    @staticmethod
+    def _places(gram: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """For each distinct n-gram a position where it ends."""
+        keys, number = gram
+        out = np.zeros(len(keys), np.int64)
+        there = np.flatnonzero(number >= 0)
+        out[number[there]] = there
+        return out
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 probability) of a word in each of several states."""
+        state, gained = state.copy(), np.zeros(len(state))
+        left = np.arange(len(state))
+        while len(left):
+            here, now = state[left], word[left]
+            at_root = here == 0
+            done = left[at_root]
+            gained[done] += self.root[now[at_root]]
+            state[done] = self.root_to[now[at_root]]
+            left, here, now = left[~at_root], here[~at_root], now[~at_root]
+            if not len(left):
+                break
+            key = here * self.words + now
+            at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+            hit = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+            gained[left[hit]] += self.weight[at[hit]]
+            state[left[hit]] = self.to[at[hit]]
+            left, here = left[~hit], here[~hit]
+            gained[left] += self.fall[here]
+            state[left] = self.fall_to[here]
+        return state, gained
+
+    def traverse(self, lane: int = LANE) -> np.ndarray:
+        """log10 probability of each token, texts abreast, each from left to right with its state.
+
+        A piece longer than a lane is read in several, each but a text's first from its context on.
+        """
+        block, out = self.block, np.zeros(len(self.block.ids))
+        cuts = [np.arange(skip, n, lane) for skip, n in zip(block.skips.tolist(), block.lengths.tolist(), strict=True)]
+        piece = np.repeat(np.arange(len(cuts)), [len(x) for x in cuts])
+        place = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
+        warm = np.minimum(self.order - 1, place)
+        opens = (place == warm) & (block.skips[piece] == 0) & (self.order > 1)
+        begin = block.starts[piece] + place - warm
+        stop = block.starts[piece] + np.minimum(place + lane, block.lengths[piece])
+        # Longest first, so that those still being read are the first ones.
+        rank = np.argsort(begin - stop, kind="stable")
+        begin, stop, warm, state = begin[rank], stop[rank], warm[rank], opens[rank].astype(np.int64)
+        sizes = stop - begin
+        for t in range(int(sizes[0]) if len(sizes) else 0):
+            n = int(np.searchsorted(-sizes, -t, "left"))
+            at = begin[:n] + t
+            state[:n], gained = self.step(state[:n], block.ids[at])
+            own = t >= warm[:n]
+            out[at[own]] = gained[own]
+        return out
+
+
+_SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _score(order: int, w: Weights):
@@ -291,28 +376,36 @@ def _score(order: int, w: Weights):
             raise ValueError("a block's answers are not all there")
         totals[np.argsort(np.concatenate([k for k, _ in grams]), kind="stable")] = np.concatenate(answers)
         by_order = np.split(totals, sizes[:-1])
-        starts = np.cumsum(block.lengths) - block.lengths
-        add = lambda x: np.add.reduceat(x, starts)
+        add = lambda x: np.add.reduceat(np.where(block.own, x, 0), block.starts)
         known = (by_order[0] > 0).astype(np.int64)[block.ids]
         base = np.log10((by_order[0].astype(np.float64) + 0.5) / (w.n + 0.5 * (w.v + 1)))[block.ids]
         doc_ids = pa.ipc.open_stream(row["doc_ids"]).read_all()["doc_id"]
         score = add(Automaton(block, grams, by_order, w).traverse())
-        return pa.table({"doc_id": doc_ids, "held_out": ~block.train, "n_tokens": block.lengths, "n_known": add(known), "train_tokens": np.full(len(starts), w.n, np.int64), "base_score": add(base), "score": score})
+        return pa.table({"row": _unpress(row["rows"]), "doc_id": doc_ids, "held_out": ~block.train, "n_tokens": block.lengths - block.skips, "n_known": add(known), "train_tokens": np.full(len(score), w.n, np.int64), "base_score": add(base), "score": score})
 
     return run
 
 
 def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned outside the fold."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned outside the fold.
+
+    order: 1 to 7 words of an n-gram.
+    """
+    if not 1 <= order <= int(_ORDER_BITS):
+        raise ValueError(f"no n-grams of {order} words")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (bucket_of(F.col(id_col), folds) == fold).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    blocks = written(rows.mapInArrow(_to_blocks(BLOCK), _BLOCKS), "lm-blocks")
+    blocks = written(rows.mapInArrow(_to_blocks(BLOCK, order), _BLOCKS), "lm-blocks")
     packets = blocks.mapInArrow(_to_packets(shards, order), _PACKETS)
     answers = written(packets.groupBy("shard").applyInArrow(_add_up(order), _TOTALS), "lm-totals")
-    # One short row a shard.
-    sums = [np.frombuffer(r["sums"]).reshape(order, -1) for r in answers.where("sums is not null").select("sums").toLocalIterator()]
-    weights = Weights(np.sum(sums, axis=0) if sums else np.zeros((order, 4 + len(_POWERS))))
+    sums = np.zeros(order * (4 + len(_POWERS)))
+    for r in answers.where("sums is not null").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        sums[r["pos"]] = r["n"]
+    weights = Weights(sums.reshape(order, -1))
     texts = blocks.withColumn("shard", F.lit(-1)).withColumn("totals", F.lit(None).cast("binary"))
     found = answers.where("block is not null").select("block", "shard", "totals")
-    return texts.unionByName(found, allowMissingColumns=True).groupBy("block").applyInArrow(_score(order, weights), _SCORES)
+    pieces = texts.unionByName(found, allowMissingColumns=True).groupBy("block").applyInArrow(_score(order, weights), _SCORES)
+    once = [F.first(c).alias(c) for c in ("doc_id", "held_out", "train_tokens")]
+    summed = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    return pieces.groupBy("row").agg(*once, *summed).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -38,7 +38,7 @@ BLOCK = 256
 #: Keys are salted that are thought to have more items than this, as seen in about SEEN of them.
 HOT = 1_000_000
 SEEN = 50_000
-_CHUNK = 32_768
+_CHUNK = 65_536
 
 
 class Hashes:
@@ -58,19 +58,23 @@ class Hashes:
             # A few sets at a time, so that their shingles stay in the processor's cache.
             hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _CHUNK, "right")))
             part, at = flat[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo]
-            x, y = (part >> np.uint64(32)).astype(np.uint32), part.astype(np.uint32)
+            x = (part >> np.uint64(32)).astype(np.uint32)
             h, some = np.empty_like(x), np.empty((len(self.a), hi - lo), np.uint32)
             for row, a, b in zip(some, self.a, self.b, strict=True):
-                # Both halves take part, so sets of any size keep their ties apart.
+                # A permutation of 32 bits; shingles are well mixed before.
                 np.bitwise_xor(x, b, out=h)
                 np.multiply(h, a, out=h)
-                np.add(h, y, out=h)
                 np.minimum.reduceat(h, at, out=row)
             out[lo:hi] = some.T
             lo = hi
         return out
 
 
+def as_bytes(signatures: np.ndarray) -> np.ndarray:
+    """A byte for each value.  Smallest hashes of many are all small, so every bit of a value takes part."""
+    return ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def recall(threshold: float, trees: int, depth: int) -> float:
     """How likely a pair as alike as the threshold has a prefix of this length in common in some tree."""
     return 1 - math.pow(1 - threshold**depth, trees)
@@ -104,10 +108,11 @@ def after_prefix(signatures: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """For each tree the values after the first `depth` of its part, a byte each, as a number that sorts as they do."""
     n, k = signatures.shape
     part = k // trees
+    short = as_bytes(signatures)
     out = np.zeros((n, trees), np.int64)
     for t in range(trees):
         for d in range(depth, part):
-            out[:, t] = out[:, t] << 8 | (signatures[:, t * part + d] >> np.uint32(24)).astype(np.int64)
+            out[:, t] = out[:, t] << 8 | short[:, t * part + d]
     return out
 
 

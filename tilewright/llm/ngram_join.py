@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import mix64, small_batches, small_or_shuffled, texts, written
-from tilewright.llm.minhash import Forest, Hashes, after_prefix, candidate_components, prefix_keys, shortest_prefix, verified
+from tilewright.llm.minhash import Forest, Hashes, after_prefix, as_bytes, candidate_components, prefix_keys, shortest_prefix, verified
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -97,7 +97,7 @@ def _features(words: int, forest: Forest):
                 sig = hashes.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]))
                 offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * forest.trees)
                 keys, after = (pa.ListArray.from_arrays(offsets, pa.array(x(sig, forest.trees, forest.shortest).reshape(-1))).take(where) for x in (prefix_keys, after_prefix))
-                sigs = pa.array([x.tobytes() for x in (sig >> np.uint32(24)).astype(np.uint8)], pa.binary()).take(where)
+                sigs = pa.array([x.tobytes() for x in as_bytes(sig)], pa.binary()).take(where)
                 packed = pa.array(z, pa.binary()).take(where)
             else:
                 keys, after, sigs, packed = (pa.nulls(len(ids), t) for t in (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))
