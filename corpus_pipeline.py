@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import exact_dedup, langid, ngram_join, packing, toxicity
-from tilewright.llm.common import documents, labels, release, tables, written
-from tilewright.llm.common import small_or_shuffled
+from tilewright.llm.common import bucket_of, documents, labels, release, small_or_shuffled, tables, written
 
-#: A text this unlike every language's profile (0: entirely) is in none of them.
-LEAST_LIKE = 0.2
+#: Of the texts held out from learning, the share that may be less like their language than a text that stays.
+RARE = 0.001
+FOLDS, FOLD = 4, 2
 
 
 def _digest(text: Column) -> Column:
@@ -49,9 +49,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    profiles = langid.learn(docs)
+    """The documents in one of the languages learned.
+
+    Rejected are texts without a letter, and those less like the language they are nearest to than all but
+    RARE of that language's texts that were held out from learning: mixtures of languages, and noise.
+    """
+    held_out = bucket_of(docs["doc_id"], FOLDS) == FOLD
+    profiles = langid.learn(docs.where(~held_out))
+    told = docs.where(held_out & F.col("lang").isNotNull()).select(F.col("lang").alias("__lang"), langid.language_column(profiles, docs["text"]).alias("__found"))
+    own = told.where(F.col("__found.lang_pred") == F.col("__lang"))
+    least = own.groupBy("__lang").agg(F.percentile_approx("__found.score", RARE, 20_000).alias("least")).collect()
     found = langid.language_column(profiles, docs["text"])
-    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LEAST_LIKE))
+    # One number for each language learned, of which learn() bounds the number.
+    floor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in least for x in (r["__lang"], r["least"])]), found["lang_pred"]), F.lit(0.0)) if least else F.lit(0.0)
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= floor))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
