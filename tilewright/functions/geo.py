@@ -21,11 +21,17 @@ MERCATOR_LIMIT = math.atan(math.sinh(math.pi))
 IMAGERY_MAX_Z = 13
 
 
+def meridian(lat: Column, h: Column) -> tuple[Column, Column]:
+    """(distance from the axis, height over the equator's plane) of a latitude and a height."""
+    s = F.sin(lat)
+    n = F.lit(A) / F.sqrt(1.0 - F.lit(E2) * s * s)
+    return (n + h) * F.cos(lat), (n * (1.0 - E2) + h) * s
+
+
 def ecef(lon: Column, lat: Column, h: Column) -> tuple[Column, Column, Column]:
     """Earth-centred coordinates of geodetic ones (radians, metres)."""
-    s, c = F.sin(lat), F.cos(lat)
-    n = F.lit(A) / F.sqrt(1.0 - F.lit(E2) * s * s)
-    return (n + h) * c * F.cos(lon), (n + h) * c * F.sin(lon), (n * (1.0 - E2) + h) * s
+    r, z = meridian(lat, h)
+    return r * F.cos(lon), r * F.sin(lon), z
 
 
 @dataclass(frozen=True)

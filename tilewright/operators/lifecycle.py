@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.text import is_tileset_uri
+from tilewright.sources.shared import written
 
 #: Seconds until the first, second and third retry; after that a tile is dead.
 BACKOFF = (1.0, 4.0, 15.0)
 BREAKER_FAILURES = 8
+#: Seconds between an open breaker's probes.
+PROBE_EVERY = 10.0
+#: What counts as a failure, and what sends a tile back to the queue.
+FAILURES = ("http", "conn", "build_failed")
+BACK = ("evict", "stale", "stop", "late", "graft_drawable")
 EVICT_TERRAIN, EVICT_NODES = 24, 16
 SELECT_AGE = 0.5
 
@@ -73,38 +81,97 @@ def retry_schedule(failures: DataFrame, key: list[str], time: str, order: list[s
     return rows.withColumn("state", F.when(F.col("retry") <= len(BACKOFF), "failed").otherwise("dead")).withColumn("next_retry", F.col(time) + wait)
 
 
-def breaker(log: DataFrame, order: list[str], bucket: Column, failures: int = BREAKER_FAILURES) -> DataFrame:
-    """(max_run, openings) of connection failures since the last ok.
+def after(state: Column, retries: Column, next_retry: Column, outcome: Column, now: Column) -> tuple[Column, Column, Column]:
+    """(state, retries, next_retry) of a tile after an outcome; null: none.  Dead tiles stay dead.
 
-    Runs are islands between oks.  Each bucket (a function of time that grows with it) is reduced to
-    its counts before and after its last ok, so a long log is cut up and only one row a bucket is put in order.
+    fetch, ok, built: fetching, decoded, built; dead: dead; FAILURES: failed until the next retry, dead
+    at the fourth; BACK: queued, a grafted node that can be drawn with no failures counted; graft_done: built.
+    """
+    bad, live = outcome.isin(*FAILURES), (state != "dead") & outcome.isNotNull()
+    tries = F.when(~live, retries).when(outcome == "graft_drawable", 0).otherwise(retries + bad.cast("int"))
+    fatal = (outcome == "dead") | (bad & (tries > len(BACKOFF)))
+    plain = F.create_map(*[F.lit(x) for pair in (("fetch", "fetching"), ("ok", "decoded"), ("built", "built"), ("graft_done", "built"), *((x, "failed") for x in FAILURES), *((x, "queued") for x in BACK)) for x in pair])
+    wait = F.element_at(F.array(*map(F.lit, BACKOFF)), F.least(F.greatest(tries, F.lit(1)), F.lit(len(BACKOFF))).cast("int"))
+    then = F.when(~live, state).when(fatal, "dead").otherwise(F.coalesce(F.element_at(plain, outcome), state))
+    return then, tries, F.when(live & bad & ~fatal, now + wait).otherwise(next_retry)
+
+
+def breaker(log: DataFrame, order: list[str], part: Column, failures: int = BREAKER_FAILURES) -> DataFrame:
+    """(max_run, openings) of connection failures since the last ok, of a log that has one order.
+
+    The log is cut into ranges of its order, which Spark makes equal in rows whatever the hours are like.
+    Each range is reduced, in a stream, to four numbers: failures before its first ok and after its
+    last, the longest run between, and how many of those reach the limit; only these are put in order.
+    part: the number of a row's range, as deal() gives it.
     """
-    w = Window.partitionBy("bucket").orderBy(*order)
-    rows = log.withColumn("bucket", bucket)
-    rows = rows.withColumn("ok_seen", F.sum((F.col("outcome") == "ok").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy("bucket", "ok_seen").agg(F.count_if(F.col("outcome") == "conn").alias("n"))
-    parts = islands.groupBy("bucket").agg(
-        F.sum(F.when(F.col("ok_seen") == 0, F.col("n")).otherwise(0)).alias("head"),
-        F.max_by("n", "ok_seen").alias("tail"),
-        F.max("ok_seen").alias("oks"),
-        F.coalesce(F.max(F.when(F.col("ok_seen") > 0, F.col("n"))), F.lit(0)).alias("inner_max"),
-        F.collect_list(F.when(F.col("ok_seen") > 0, F.struct("ok_seen", "n"))).alias("inner"),
-    )
-    # Islands that lie within one bucket, its last aside, are whole.
-    whole = F.filter("inner", lambda e: e["ok_seen"] < F.col("oks"))
-    parts = parts.withColumn("whole_max", F.coalesce(F.array_max(F.transform(whole, lambda e: e["n"])), F.lit(0))).withColumn("whole_open", F.size(F.filter(whole, lambda e: e["n"] >= failures)))
-    over = Window.orderBy("bucket")
-    group = F.sum((F.col("oks") > 0).cast("int")).over(over)
-    chained = parts.withColumn("g", group)
-    # Group g: the tail of the bucket that began it, then whole buckets without an ok, then the next one's head.
+    w = Window.partitionBy("part").orderBy(*order)
+    rows = log.select(*order, "outcome", part.alias("part"))
+    rows = rows.withColumn("oks", F.count_if(F.col("outcome") == "ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = rows.groupBy("part", "oks").agg(F.count_if(F.col("outcome") == "conn").alias("n"))
+    ends = islands.groupBy("part").agg(F.sum(F.when(F.col("oks") == 0, F.col("n")).otherwise(0)).alias("head"), F.max_by("n", "oks").alias("tail"), F.max("oks").alias("oks"))
+    inner = islands.join(ends.select("part", F.col("oks").alias("most")), "part").where("oks > 0 and oks < most")
+    inside = inner.agg(F.coalesce(F.max("n"), F.lit(0)).alias("m"), F.count_if(F.col("n") >= failures).alias("o"))
+    # One short row for each range, in one window.
+    chained = ends.withColumn("g", F.sum((F.col("oks") > 0).cast("int")).over(Window.orderBy("part")))
+    # Group g: the tail of the range that began it, then whole ranges without an ok, then the next one's head.
     begun = chained.select("g", F.when(F.col("oks") > 0, F.col("tail")).otherwise(F.col("head")).alias("n"))
     ended = chained.where("oks > 0").select((F.col("g") - 1).alias("g"), F.col("head").alias("n"))
     cross = begun.unionByName(ended).groupBy("g").agg(F.sum("n").alias("n"))
-    inside = parts.agg(F.coalesce(F.max("whole_max"), F.lit(0)).alias("m"), F.coalesce(F.sum("whole_open"), F.lit(0)).alias("o"))
     outside = cross.agg(F.coalesce(F.max("n"), F.lit(0)).alias("m"), F.count_if(F.col("n") >= failures).alias("o"))
     return inside.unionByName(outside).agg(F.max("m").cast("long").alias("max_run"), F.sum("o").cast("long").alias("openings"))
 
 
+def deal(log: DataFrame, order: list[str], rows: int = 100_000) -> DataFrame:
+    """The log with `part`, the number of its range of about so many rows in this order, written."""
+    parts = max(1, -(-log.count() // rows))
+    dealt = log.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    return written(dealt, "log-ranges")
+
+
+def breaker_state(log: DataFrame, key: list[str], order: list[str], failures: int = BREAKER_FAILURES) -> DataFrame:
+    """Adds n_failures and is_open, after each row of a session's log (outcome also probe_ok, probe_failed).
+
+    Connection failures since the last ok or good probe open the breaker; other failures don't count.  An ok
+    zeroes the count, but only a good probe closes what is open.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    zero, closes = F.col("outcome").isin("ok", "probe_ok"), F.col("outcome") == "probe_ok"
+    rows = log.withColumn("__run", F.count_if(zero).over(so_far)).withColumn("__spell", F.count_if(closes).over(so_far))
+    in_run = Window.partitionBy(*key, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n_failures", F.count_if(F.col("outcome") == "conn").over(in_run))
+    in_spell = Window.partitionBy(*key, "__spell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("is_open", F.max(F.col("n_failures") >= failures).over(in_spell)).drop("__run", "__spell")
+
+
+@dataclass
+class Breaker:
+    """The breaker of a running session: a few numbers on the driver, fed with counts."""
+
+    failures: int = 0
+    is_open: bool = False
+    probed_at: float = 0.0
+
+    def seen(self, ok: int, conn: int, now: float) -> None:
+        """Results of one step.  Their order isn't known: an ok counts as before the failures."""
+        self.failures = conn + (0 if ok else self.failures)
+        if self.failures >= BREAKER_FAILURES and not self.is_open:
+            self.is_open, self.probed_at = True, now
+
+    def probe_due(self, now: float) -> bool:
+        return self.is_open and now - self.probed_at >= PROBE_EVERY
+
+    def probed(self, ok: bool, now: float) -> None:
+        self.probed_at = now
+        if ok:
+            self.is_open, self.failures = False, 0
+
+
+def both(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """The keys that are in both frames, each once."""
+    return a.select(*key).intersect(b.select(*key))
+
+
 def need_select(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """For each camera sample (signature, generation, at) whether to select anew: it moved, data came, or it is old."""
     w = Window.partitionBy(*key).orderBy(*order)

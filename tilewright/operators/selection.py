@@ -23,23 +23,30 @@ VALVE_TILES, VALVE_FACTOR, VALVE_PASSES = 400, 1.5, 4
 def tile_boxes(tiles: DataFrame, frame: geo.Frame, n: int = 5, low: float = -1000.0, high: float = 9000.0) -> DataFrame:
     """Adds a box (lo_x .. hi_z) in the local frame around each tile, padded by the globe's bulge.
 
-    An n x n grid at two heights for each row; minima and maxima are combined where the samples are
-    made, and the row's other columns go along as keys, so nothing is joined back.  Equal rows count once.
+    Of an n x n grid at two heights; all within the row.
     """
-    west, south, east, north = geo.tile_rect(F.col("z"), F.col("x"), F.col("y"))
-    return _boxes(tiles, tiles.columns, west, south, east, north, F.lit(low), F.lit(high), frame, n)
+    rect = geo.tile_rect(F.col("z"), F.col("x"), F.col("y"))
+    return _boxes(tiles, tiles.columns, *rect, F.lit(low), F.lit(high), frame, n)
 
 
 def _boxes(rows: DataFrame, key: list[str], west, south, east, north, low, high, frame: geo.Frame, n: int) -> DataFrame:
-    grid = F.explode(F.array(*(F.struct(F.lit(i / (n - 1)).alias("i"), F.lit(j / (n - 1)).alias("j"), F.lit(k).alias("k")) for i in range(n) for j in range(n) for k in (False, True)))).alias("g")
-    span = geo.A * F.greatest(east - west, north - south) / float(n - 1)
-    margin = F.least(span * span / (2.0 * geo.A), F.lit(geo.A))
-    at = rows.select(*key, west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"), low.cast("double").alias("h0"), high.cast("double").alias("h1"), margin.alias("margin")).select("*", grid)
-    xyz = frame.from_geodetic(F.col("w") + F.col("g.i") * (F.col("e") - F.col("w")), F.col("s") + F.col("g.j") * (F.col("n") - F.col("s")), F.when(F.col("g.k"), F.col("h1")).otherwise(F.col("h0")))
-    points = at.select(*key, "margin", *(v.alias(f"p{a}") for v, a in zip(xyz, "xyz", strict=True)))
-    low_ = [(F.min(f"p{a}") - F.first("margin")).alias(f"lo_{a}") for a in "xyz"]
-    high_ = [(F.max(f"p{a}") + F.first("margin")).alias(f"hi_{a}") for a in "xyz"]
-    return points.groupBy(*key).agg(*low_, *high_)
+    c, steps = F.col, [i / (n - 1) for i in range(n)]
+    ends = dict(zip(("__w", "__s", "__e", "__n", "__h0", "__h1"), (west, south, east, north, low.cast("double"), high.cast("double")), strict=True))
+    at = rows.withColumns(ends)
+    span = geo.A * F.greatest(c("__e") - c("__w"), c("__n") - c("__s")) / float(n - 1)
+    # A point's earth-centred coordinates are products of a number of its longitude and one of its latitude and height.
+    turn, rise = {"__margin": F.least(span * span / (2.0 * geo.A), F.lit(geo.A))}, {}
+    for i, t in enumerate(steps):
+        lon, lat = c("__w") + t * (c("__e") - c("__w")), c("__s") + t * (c("__n") - c("__s"))
+        turn |= {f"__cos{i}": F.cos(lon), f"__sin{i}": F.sin(lon), f"__lat{i}": lat}
+        rise |= {f"__{name}{i}{k}": v for k in (0, 1) for name, v in zip("rz", geo.meridian(c(f"__lat{i}"), c(f"__h{k}")), strict=True)}
+    at = at.withColumns(turn).withColumns(rise)
+    corners = [(c(f"__r{j}{k}") * c(f"__cos{i}"), c(f"__r{j}{k}") * c(f"__sin{i}"), c(f"__z{j}{k}")) for i in range(n) for j in range(n) for k in (0, 1)]
+    local = [frame.from_ecef(*p) for p in corners]
+    at = at.withColumns({f"__{a}": F.array(*(p[m] for p in local)) for m, a in enumerate("xyz")})
+    low_ = [(F.array_min(f"__{a}") - c("__margin")).alias(f"lo_{a}") for a in "xyz"]
+    high_ = [(F.array_max(f"__{a}") + c("__margin")).alias(f"hi_{a}") for a in "xyz"]
+    return at.select(*key, *low_, *high_)
 
 
 def region_boxes(rows: DataFrame, key: list[str], frame: geo.Frame) -> DataFrame:

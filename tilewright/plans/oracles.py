@@ -6,19 +6,31 @@ orders the whole log.
 
 from __future__ import annotations
 
-from tilewright.functions.camera import Camera
-
-LAT, LON = 28.61, 77.20
-CAMERA = Camera(pos=(0.0, 0.0, 2000.0), heading=20.0, pitch=-15.0)
-HIGH = Camera(pos=(0.0, 0.0, 1_500_000.0), heading=20.0, pitch=-55.0)
-PLANES = [tuple(round(v, 6) for v in p) for p in CAMERA.planes()]
-HIGH_PLANES = [tuple(round(v, 6) for v in p) for p in HIGH.planes()]
-H_P11 = f"({CAMERA.height_px} * {CAMERA.p11!r}::DOUBLE)"
+LAT, LON = 46.55, 7.98
+# Planes (a, b, c, d) of the two cameras' views, found from the angles of the view pyramid's sides
+# (fields of view 60 degrees and, across, 2 atan(tan(30) 16 / 9); heading 20, pitch -15 and -55).
+PLANES = [
+    (0.892378, 0.411455, -0.185381, 370.762615),
+    (-0.419123, 0.888802, -0.185381, 370.762615),
+    (0.241845, 0.664463, 0.707107, -1414.213562),
+    (0.088521, 0.24321, -0.965926, 1931.851653),
+    (0.330366, 0.907673, -0.258819, 516.63809),
+    (-0.330366, -0.907673, 0.258819, 19999482.36191),
+]
+HIGH_PLANES = [
+    (0.796262, 0.147379, -0.586725, 880086.761616),
+    (-0.515239, 0.624727, -0.586725, 880086.761616),
+    (0.340719, 0.936117, 0.087156, -130733.614121),
+    (-0.144544, -0.397131, -0.906308, 1359461.680555),
+    (0.196175, 0.538986, -0.819152, 1228727.066433),
+    (-0.196175, -0.538986, 0.819152, 18771271.933567),
+]
+POS, HIGH_POS = (0.0, 0.0, 2000.0), (0.0, 0.0, 1_500_000.0)
+#: Pixels times the cotangent of half the field of view.
+H_P11 = "(1080 / tan(pi() / 6))"
 MAX_Z = 6
 BOX = "lo_x lo_y lo_z hi_x hi_y hi_z".split()
 
-MACROS = ""
-
 GEO = """geo_points AS (
     SELECT c_custkey AS id, (c_custkey * 137.5077640500378e0) % 360 - 180 AS lon,
            (c_custkey * 61.8033988749895e0) % 170 - 85 AS lat, c_acctbal AS h FROM customer)"""
@@ -74,7 +86,7 @@ def in_planes(p="", planes=PLANES):
     return " AND ".join(f"({' + '.join(f'({n!r}::DOUBLE) * {p}{"hi" if n > 0 else "lo"}_{a}' for n, a in zip(pl[:3], 'xyz'))} + ({pl[3]!r}::DOUBLE) >= 0)" for pl in planes)
 
 
-def distance(p="", pos=CAMERA.pos):
+def distance(p="", pos=POS):
     d = [f"greatest({p}lo_{a} - ({v!r}::DOUBLE), ({v!r}::DOUBLE) - {p}hi_{a}, 0)" for a, v in zip("xyz", pos)]
     return f"sqrt({' + '.join(f'{e} * {e}' for e in d)})"
 
@@ -141,11 +153,15 @@ sql("resolve_uri", """SELECT page_id, 'https://cdn.example/t/' || page_id || CAS
 # Availability, covers
 THERE = "EXISTS (SELECT 1 FROM avail_rects r WHERE r.level = {z} AND {x} BETWEEN r.sx AND r.ex AND {y} BETWEEN r.sy AND r.ey)"
 sql("availability", f"WITH {HITS}, {RECTS} SELECT id, z, x, y FROM tile_hits t WHERE {THERE.format(z='t.z', x='t.x', y='t.y')}")
-sql("nearest_real_ancestor", f"""WITH {HITS}, {RECTS}, up AS (SELECT id, az, x >> (9 - az)::INT AS ax, y >> (9 - az)::INT AS ay FROM tile_hits, range(0, 10) r(az) WHERE z = 9)
-    SELECT id, max(az) AS az, arg_max(ax, az) AS ax, arg_max(ay, az) AS ay FROM up WHERE az = 0 OR {THERE.format(z='az', x='ax', y='ay')} GROUP BY id""")
+sql("nearest_real_ancestor", f"""WITH {HITS}, {RECTS}, up AS (SELECT id, z, az, x >> (z - az)::INT AS ax, y >> (z - az)::INT AS ay FROM tile_hits, range(0, 10) r(az) WHERE az <= z)
+    SELECT id, z AS level, max(az) AS az, arg_max(ax, az) AS ax, arg_max(ay, az) AS ay FROM up WHERE az = 0 OR {THERE.format(z='az', x='ax', y='ay')} GROUP BY id, z""")
 sql("imagery_fallback", f"""WITH {HITS}, have AS (SELECT DISTINCT z, x, y FROM tile_hits WHERE (x * 3 + y * 5 + z) % 4 = 0),
-    up AS (SELECT id, az, x >> (9 - az)::INT AS ax, y >> (9 - az)::INT AS ay FROM tile_hits, range(0, 8) r(az) WHERE z = 9)
-    SELECT id, max(az) AS az, arg_max(ax, az) AS ax, arg_max(ay, az) AS ay FROM up WHERE (az, ax, ay) IN (SELECT z, x, y FROM have) GROUP BY id""")
+    up AS (SELECT id, z, az, x >> (z - az)::INT AS ax, y >> (z - az)::INT AS ay FROM tile_hits, range(0, 8) r(az) WHERE az <= z)
+    SELECT id, z AS level, max(az) AS az, arg_max(ax, az) AS ax, arg_max(ay, az) AS ay FROM up WHERE (az, ax, ay) IN (SELECT z, x, y FROM have) GROUP BY id, z""")
+sql("set_intersect", f"WITH {HITS}, {RECTS} SELECT z, x, y FROM tile_hits INTERSECT SELECT level, sx, sy FROM avail_rects")
+sql("imagery_url", f"""WITH {HITS}, t AS (SELECT id, z, x, y, (1::BIGINT << z::INT) - 1 - y AS top FROM tile_hits),
+    d AS (SELECT id, z, any_value(x) AS x, any_value(y) AS y, any_value(top) AS top, string_agg((((x >> i::INT) & 1) + 2 * ((top >> i::INT) & 1))::VARCHAR, '' ORDER BY i DESC) AS qk FROM t, range(0, 10) r(i) WHERE i < z GROUP BY id, z)
+    SELECT id, z, 'https://m.example/tiles/' || z || '/' || x || '/' || y || '.png' AS map_url, 'https://t' || (x + top) % 3 || '.example/a' || qk || '.jpeg?g=1&n=z' AS quad_url FROM d""")
 _few = f"few AS (SELECT DISTINCT z, x, y FROM tile_hits)"
 _x = lambda v, e: f"least(trunc(({v} {e}) * (1::BIGINT << m::INT))::BIGINT, (1::BIGINT << m::INT) - 1)"
 COVERS = f"""{HITS}, {_few}, span AS (SELECT z, x, y, ({west()} + pi()) / (2 * pi()) AS x0, ({west(x='x')} + 2 * pi() / (2::BIGINT << z::INT) + pi()) / (2 * pi()) AS x1,
@@ -207,7 +223,7 @@ LIMIT = "(SELECT sqrt(hh * (2 * 6378137.0::DOUBLE + hh)) + sqrt(9000 * (2 * 6378
 def facts(threshold):
     err = f"round(greatest(77067e0 / (1::BIGINT << z::INT), {FLOOR.format(m=5)}) * {H_P11} / (2 * greatest(dist, 1e-6)), 6)"
     return f"""{FRAME}, {RECTS}, {PYRAMID}, tiles AS ({STATED('pyramid')}), {TILE_BOXES('pyramid')},
-    f0 AS (SELECT t.*, b.* EXCLUDE (z, x, y), {distance('b.', HIGH.pos)} AS dist FROM tiles t JOIN boxed b USING (z, x, y)),
+    f0 AS (SELECT t.*, b.* EXCLUDE (z, x, y), {distance('b.', HIGH_POS)} AS dist FROM tiles t JOIN boxed b USING (z, x, y)),
     f1 AS MATERIALIZED (SELECT z, x, y, state, {in_planes(planes=HIGH_PLANES)} AND dist <= {LIMIT} AS vis, {err} AS err, z <= 5 OR {THERE.format(z='f0.z', x='f0.x', y='f0.y')} AS real_ FROM f0),
     kid AS MATERIALIZED (SELECT z - 1 AS z, x >> 1 AS x, y >> 1 AS y, bool_and(real_ AND state <> 'dead') AS good, bool_and(NOT vis OR state = 'built') AS ready FROM f1 WHERE z > 0 GROUP BY ALL),
     facts AS MATERIALIZED (SELECT f1.*, err <= {threshold} OR NOT (f1.z < {MAX_Z} AND coalesce(good, false)) AS stop, coalesce(ready, false) AS ready FROM f1 LEFT JOIN kid USING (z, x, y))"""
@@ -304,14 +320,14 @@ sql("lru_evict_nodes", f"""WITH {NODES}, s AS (SELECT id, id % 4 < 3 AS built, i
     SELECT id, last_wanted FROM r WHERE i <= least(16, greatest(0, (SELECT count(*) FROM s WHERE built) - 20))""")
 sql("retry_schedule", f"""WITH {LOG}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS retry FROM log WHERE outcome IN ('http', 'conn'))
     SELECT user_id, event_id, retry, CASE WHEN retry <= 3 THEN 'failed' ELSE 'dead' END AS state, CASE retry WHEN 1 THEN event_id + 1e0 WHEN 2 THEN event_id + 4e0 WHEN 3 THEN event_id + 15e0 END AS next_retry FROM r""")
-sql("breaker", f"""WITH {LOG}, g AS (SELECT outcome, sum((outcome = 'ok')::INT) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM log WHERE ts IS NOT NULL),
+sql("breaker", f"""WITH {LOG}, g AS (SELECT outcome, sum((outcome = 'ok')::INT) OVER (ORDER BY ts NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING) AS g FROM log),
     runs AS (SELECT g, count(*) FILTER (outcome = 'conn') AS n FROM g GROUP BY g) SELECT coalesce(max(n), 0)::BIGINT AS max_run, count(*) FILTER (n >= 8) AS openings FROM runs""")
 sql("need_select", """WITH l AS (SELECT event_id, user_id, floor(value / 20)::BIGINT AS s, event_id // 500 AS g, event_id / 400e0 AS t FROM events),
     p AS (SELECT *, lag(s) OVER w AS ls, lag(g) OVER w AS lg, lag(t) OVER w AS la FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
     SELECT event_id, ls IS NULL OR ls <> s OR lg <> g OR t - la > 0.5 AS need_select FROM p""")
 sql("stale_generation", "SELECT event_id, CASE WHEN event_id % 7 = max(event_id % 7) OVER (PARTITION BY user_id) THEN 'used' ELSE 'queued' END AS result FROM events")
-sql("sweep_unused", "SELECT p_partkey AS block FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
-sql("restore_key", f"""WITH {HITS} SELECT id, z, CASE WHEN id % 4 = 0 THEN 'stored_' || id ELSE 'I_m_' || least(z, 7) || '_' || (x >> greatest(z - 7, 0)::INT) || '_' || (y >> greatest(z - 7, 0)::INT) END AS image_key FROM tile_hits WHERE z >= 5""")
+sql("sweep_unused", "SELECT p_partkey AS block FROM part WHERE p_partkey % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey // 3 = p_partkey // 3)")
+sql("restore_key", f"""WITH {HITS} SELECT id, z, CASE WHEN id % 4 = 0 THEN 'stored_' || id ELSE 'I_m_' || least(z, 7) || '_' || (x >> greatest(z - 7, 0)::INT) || '_' || (y >> greatest(z - 7, 0)::INT) END AS image_key FROM tile_hits""")
 sql("fsm_replay", f"""WITH RECURSIVE {LOG}, o AS MATERIALIZED (SELECT user_id AS tile, event_id AS seq, outcome, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM log),
     run AS (SELECT DISTINCT tile, 0::BIGINT AS i, 'queued' AS state, 0::BIGINT AS retries, 0e0 AS due FROM o UNION ALL
         SELECT r.tile, o.i, CASE WHEN r.state = 'dead' THEN 'dead' WHEN outcome = 'ok' THEN 'built' WHEN outcome = 'dead' OR r.retries >= 3 THEN 'dead' ELSE 'failed' END,
@@ -320,6 +336,60 @@ sql("fsm_replay", f"""WITH RECURSIVE {LOG}, o AS MATERIALIZED (SELECT user_id AS
         FROM run r JOIN o ON o.tile = r.tile AND o.i = r.i + 1)
     SELECT tile, arg_max(state, i) AS state, arg_max(retries, i) AS retries, arg_max(due, i) AS next_retry FROM run GROUP BY tile""")
 
+sql("breaker_state", f"""WITH RECURSIVE {LOG}, o AS MATERIALIZED (SELECT user_id % 20 AS session, event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i,
+        CASE WHEN event_id % 29 = 0 THEN 'probe_ok' WHEN event_id % 31 = 0 THEN 'probe_failed' WHEN outcome = 'http' AND event_id % 2 = 0 THEN 'conn' ELSE outcome END AS outcome FROM log),
+    run AS (SELECT DISTINCT session, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::BIGINT AS n, false AS open FROM o UNION ALL
+        SELECT o.session, o.i, o.event_id, CASE WHEN outcome IN ('ok', 'probe_ok') THEN 0 ELSE n + (outcome = 'conn')::INT END, outcome <> 'probe_ok' AND (open OR (outcome = 'conn' AND n >= 7)) FROM run r JOIN o ON o.session = r.session AND o.i = r.i + 1)
+    SELECT session, event_id, n AS n_failures, open AS is_open FROM run WHERE i > 0""")
+sql("ground_ray", f"""WITH {GEO}, s AS (SELECT id, min(i) FILTER ((id + i) % 3 = 0) AS i FROM geo_points, range(0, 4) r(i) WHERE i <= id % 7 GROUP BY id)
+    SELECT id, round(CASE WHEN i IS NULL THEN h + 5000 - 3000 ELSE h - i * 10 END, 4) AS ground FROM geo_points JOIN s USING (id)""")
+sql("fsm_full", """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id AS tile, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+        CASE WHEN event_id % 97 = 0 THEN 'dead' ELSE ['fetch', 'ok', 'built', 'http', 'conn', 'build_failed', 'evict', 'stale', 'stop', 'late', 'graft_drawable', 'graft_done', 'nothing'][event_id * 7 % 13 + 1] END AS outcome FROM events),
+    run AS (SELECT DISTINCT tile, 0::BIGINT AS i, 'queued' AS state, 0::BIGINT AS n, 0e0 AS due FROM o UNION ALL
+        SELECT r.tile, o.i,
+            CASE WHEN state = 'dead' OR outcome = 'dead' THEN 'dead' WHEN outcome IN ('http', 'conn', 'build_failed') THEN CASE WHEN n >= 3 THEN 'dead' ELSE 'failed' END
+                WHEN outcome = 'fetch' THEN 'fetching' WHEN outcome = 'ok' THEN 'decoded' WHEN outcome IN ('built', 'graft_done') THEN 'built' WHEN outcome = 'nothing' THEN state ELSE 'queued' END,
+            CASE WHEN state = 'dead' THEN n WHEN outcome = 'graft_drawable' THEN 0 ELSE n + (outcome IN ('http', 'conn', 'build_failed'))::INT END,
+            CASE WHEN state <> 'dead' AND outcome IN ('http', 'conn', 'build_failed') AND n < 3 THEN seq + [1e0, 4e0, 15e0][n + 1] ELSE due END
+        FROM run r JOIN o ON o.tile = r.tile AND o.i = r.i + 1)
+    SELECT tile, arg_max(state, i) AS state, arg_max(n, i) AS retries, arg_max(due, i) AS next_retry FROM run GROUP BY tile""")
+
+# Formats: what the samples are made of, by their number
+sql("qm_decode", """SELECT '8/' || k % 512 || '/' || k // 512 || '.terrain' AS path, k % 10 = 0 AS damaged, CASE WHEN k % 10 > 0 THEN 0e0 END AS min_h, CASE WHEN k % 10 > 0 THEN k::DOUBLE END AS max_h,
+    CASE WHEN k % 10 > 0 THEN 4 END AS n_vertices, CASE WHEN k % 10 > 0 THEN 2 END AS n_triangles, CASE WHEN k % 10 > 0 THEN k / 2e0 END AS geometric_error FROM (SELECT s_suppkey AS k FROM supplier)""")
+QM = """qm AS (SELECT k, k % 512 AS x, k // 512 AS y, k % 32767 / 32767e0 * k AS h0 FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 10 > 0)"""
+_qm = local(*ecef("lon", "lat", "h"))
+sql("mesh_from_bytes", f"""WITH {FRAME}, {QM}, c AS (SELECT k, x, y, i, {west('8', 'x')} + (i % 2) * (2 * pi() / 512) AS lon, {south('8', 'y')} + (i // 2) * (pi() / 256) AS lat, CASE i WHEN 0 THEN h0 WHEN 3 THEN k ELSE 0e0 END AS h FROM qm, range(4) r(i)),
+    p AS (SELECT k, x, y, i, {_qm[0]} AS e, {_qm[1]} AS n, {_qm[2]} AS up FROM c, frame)
+    SELECT x, y, 2::BIGINT AS n_triangles, 0.625e0 AS last_v, round(min(up) OVER (PARTITION BY k), 2) AS low_up, i, round(e::FLOAT::DOUBLE, 1) AS e, round(n::FLOAT::DOUBLE, 1) AS n, round(up::FLOAT::DOUBLE, 1) AS up FROM p""")
+sql("upsample_mesh", f"""WITH {QM}, g AS (SELECT k, x * 2 AS x, y * 2 + 1 AS y, j * 5 + i AS i, i / 8e0 AS px, 0.5e0 + j / 8e0 AS py, i AS gi, j AS gj, h0 FROM qm, range(5) a(i), range(5) b(j)),
+    s AS (SELECT *, CASE WHEN px + py <= 1 THEN h0 * (1 - px - py) ELSE k * (px + py - 1) END AS h FROM g),
+    m AS (SELECT *, min(h) OVER (PARTITION BY k) AS lo, max(h) OVER (PARTITION BY k) AS hi FROM s)
+    SELECT x, y, round(lo, 4) AS min_h, round(hi, 4) AS max_h, 96::BIGINT AS n_loops, 9::BIGINT AS second_east, i, round_even(gi / 4e0 * 32767, 0)::BIGINT AS u, round_even(gj / 4e0 * 32767, 0)::BIGINT AS v,
+        coalesce(round_even((h - lo) / nullif(hi - lo, 0) * 32767, 0), 0)::BIGINT AS h FROM m""")
+DOCS = """docs AS (SELECT s_suppkey AS k, 'https://t.example/' || s_suppkey || '/tileset.json' AS url FROM supplier)"""
+sql("tileset_parse", f"""WITH {DOCS}, n AS (SELECT url, NULL::VARCHAR AS error, 1::BIGINT AS id, NULL::BIGINT AS parent, 0::BIGINT AS depth, 100e0 AS geometric_error, 'region' AS volume, NULL::VARCHAR AS uri, 10e0 AS moved_x FROM docs WHERE k % 9 > 0
+    UNION ALL SELECT url, NULL, 2, 1, 1, 10, 'box', NULL, 10 + k FROM docs WHERE k % 9 > 0
+    UNION ALL SELECT url, NULL, 3 + i, 2, 2, 1, 'sphere', k || '_' || i || '.glb', 10 + k FROM docs, range(0, 3) r(i) WHERE k % 9 > 0 AND i < k % 4)
+    SELECT url, error, id, parent, depth, geometric_error, 'ADD' AS refine, volume, uri, moved_x FROM n
+    UNION ALL SELECT url, 'no root tile', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM docs WHERE k % 9 = 0""")
+_b = local("15 + k + p_", "6 + q", "7 + r_")
+_s = local("10 + k", "0", "0")
+sql("tileset_boxes", f"""WITH {DOCS}, {FRAME}, reg AS (SELECT url, 0.5e0 AS w, 0.25e0 AS s, 0.51e0 AS e, 0.27e0 AS n, 0e0 AS h0, 90e0 AS h1 FROM docs WHERE k % 9 > 0),
+    {boxes('reg', 'url', 3, 'w', 's', 'e', 'n', 'h0', 'h1')},
+    corners AS (SELECT url, {_b[0]} AS px, {_b[1]} AS py, {_b[2]} AS pz FROM docs, frame, (VALUES (-10), (10)) a(p_), (VALUES (-20), (20)) b(q), (VALUES (-30), (30)) c(r_) WHERE k % 9 > 0),
+    balls AS (SELECT url, i, {_s[0]} AS px, {_s[1]} AS py, {_s[2]} AS pz FROM docs, frame, range(0, 3) r(i) WHERE k % 9 > 0 AND i < k % 4)
+    SELECT url, 1::BIGINT AS id, {rounded(BOX, 2)} FROM boxed
+    UNION ALL SELECT url, 2, round(min(px), 2), round(min(py), 2), round(min(pz), 2), round(max(px), 2), round(max(py), 2), round(max(pz), 2) FROM corners GROUP BY url
+    UNION ALL SELECT url, 3 + i, round(px - i, 2), round(py - i, 2), round(pz - i, 2), round(px + i, 2), round(py + i, 2), round(pz + i, 2) FROM balls""")
+sql("unwrap_content", """WITH c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 1 THEN '{"extensions": {"VENDOR_RTC": {"center": [' || s_suppkey || ', 0, 0]}}}' ELSE '{}' END AS chunk FROM supplier),
+    m AS (SELECT k, 'c' || k AS url, 20 + (length(chunk) + 3) // 4 * 4 AS n FROM c)
+    SELECT url, false AS damaged, i AS part, n AS n_bytes, CASE WHEN k % 2 = 1 THEN k::DOUBLE END AS center_x FROM m, range(0, 2) r(i) WHERE k % 6 < 3 AND (i = 0 OR k % 6 = 2)
+    UNION ALL SELECT url, true, NULL, NULL, NULL FROM m WHERE k % 6 > 3""")
+sql("resolve_uri_full", """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+    d AS (SELECT page_id, host, coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') AS folder FROM p)
+    SELECT page_id, host || regexp_replace(folder, '[^/]+/$', '') || 'sub/' || page_id || '.glb?session=a+b&key=k' AS resolved FROM d""")
+
 # Styling
 _stops = [(0.0, 0.169, 0.292, 0.152), (0.22, 0.302, 0.410, 0.209), (0.45, 0.557, 0.502, 0.312), (0.68, 0.475, 0.386, 0.284), (0.86, 0.727, 0.696, 0.630), (1.0, 0.937, 0.926, 0.898)]
 _rock = (0.412, 0.365, 0.306)

@@ -15,7 +15,7 @@ from tilewright.plans import derive
 from tilewright.plans.derive import table
 from tilewright.sources.shared import written
 
-FRAME = geo.Frame(28.61, 77.20)
+FRAME = geo.Frame(46.55, 7.98)
 CAMERA = Camera(pos=(0.0, 0.0, 2000.0), heading=20.0, pitch=-15.0)
 #: High above the globe, for selection over whole levels.
 HIGH = Camera(pos=(0.0, 0.0, 1_500_000.0), heading=20.0, pitch=-55.0)
@@ -189,9 +189,8 @@ def content_kind(spark, sf):
 @query
 def ext_priority(spark, sf):
     """Of a tile's files the one to use: .jpg, .png, .tif; others don't count."""
-    rank = F.when(F.col("ext") == ".jpg", 1).when(F.col("ext") == ".png", 2).when(F.col("ext") == ".tif", 3)
-    files = sniff_ext(spark, sf).select((F.col("doc_id") % 97).alias("tile"), "ext").withColumn("rank", rank).where("rank is not null")
-    return files.groupBy("tile").agg(F.min_by("ext", "rank").alias("ext"))
+    files = sniff_ext(spark, sf).select((F.col("doc_id") % 97).alias("tile"), "ext")
+    return files.groupBy("tile").agg(text.first_image(F.col("ext")).alias("ext")).where("ext is not null")
 
 
 @query
@@ -202,7 +201,7 @@ def tile_names(spark, sf):
 
 @query
 def resolve_uri(spark, sf):
-    base = F.concat(F.substring_index("url", "?", 1), F.lit("?session=s"), F.col("page_id") % 7, F.lit("&key=k1&blank="))
+    base = F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("?session=s"), F.col("page_id") % 7, F.lit("&key=k1&blank="))
     child = F.concat(F.lit("https://cdn.example/t/"), F.col("page_id"), F.when(F.col("page_id") % 3 == 0, ".glb?key=own").when(F.col("page_id") % 3 == 1, ".glb").otherwise(".json?v=2"))
     return table(spark, sf, "pages").select("page_id", text.inherited_query(base, child).alias("resolved"))
 
@@ -217,17 +216,17 @@ def availability(spark, sf):
 
 @query
 def nearest_real_ancestor(spark, sf):
-    leaf = _hits(spark, sf).where("z = 9").withColumn("z", F.col("z").cast("int"))
-    out = av.nearest_real_ancestor(leaf, derive.avail_rects(spark, sf), ["id"])
-    return out.select("id", F.col("az").cast("long").alias("az"), "ax", "ay")
+    hits = _hits(spark, sf).select("id", F.col("z").cast("int").alias("z"), F.col("z").alias("level"), "x", "y")
+    out = av.nearest_real_ancestor(hits, derive.avail_rects(spark, sf), ["id", "level"])
+    return out.select("id", "level", F.col("az").cast("long").alias("az"), "ax", "ay")
 
 
 @query
 def imagery_fallback(spark, sf):
     hits = _hits(spark, sf)
     have = hits.where((F.col("x") * 3 + F.col("y") * 5 + F.col("z")) % 4 == 0).select("z", "x", "y")
-    out = av.imagery_fallback(hits.where("z = 9").withColumn("z", F.col("z").cast("int")), have, ["id"], 7)
-    return out.select("id", F.col("az").cast("long").alias("az"), "ax", "ay")
+    out = av.imagery_fallback(hits.withColumn("level", F.col("z")).withColumn("z", F.col("z").cast("int")), have, ["id", "level"], 7)
+    return out.select("id", "level", F.col("az").cast("long").alias("az"), "ax", "ay")
 
 
 def _tiles(spark, sf):
@@ -564,8 +563,42 @@ def retry_schedule(spark, sf):
 
 @query
 def breaker(spark, sf):
-    log = derive.request_log(spark, sf).where("ts is not null")
-    return lifecycle.breaker(log, ["ts", "event_id"], F.date_trunc("day", "ts"))
+    order = ["ts", "event_id"]
+    log = lifecycle.deal(derive.request_log(spark, sf), order, rows=5000)
+    return lifecycle.breaker(log, order, F.col("part"))
+
+
+@query
+def breaker_state(spark, sf):
+    """Each user's log as a session's, some of its requests as probes."""
+    kind = F.when(F.col("event_id") % 29 == 0, "probe_ok").when(F.col("event_id") % 31 == 0, "probe_failed").when((F.col("outcome") == "http") & (F.col("event_id") % 2 == 0), "conn").otherwise(F.col("outcome"))
+    log = derive.request_log(spark, sf).select((F.col("user_id") % 20).alias("session"), "event_id", kind.alias("outcome"))
+    return lifecycle.breaker_state(log, ["session"], ["event_id"]).select("session", "event_id", F.col("n_failures").cast("long").alias("n_failures"), "is_open")
+
+
+@query
+def set_intersect(spark, sf):
+    """Tiles that are hit and are also at the corners of what is available."""
+    corners = derive.avail_rects(spark, sf).select(F.col("level").cast("long").alias("z"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    return lifecycle.both(_hits(spark, sf), corners, ["z", "x", "y"])
+
+
+@query
+def ground_ray(spark, sf):
+    p = derive.geo_points(spark, sf)
+    cameras = p.select("id", (F.col("h") + 5000).alias("up"))
+    surfaces = F.transform(F.sequence(F.lit(0), (F.col("id") % 7).cast("int")), lambda i: F.struct((F.col("h") - i * 10).alias("h"), (((F.col("id") + i) % 3) != 0).alias("slab")))
+    hits = p.select("id", F.explode(surfaces).alias("s")).select("id", "s.h", "s.slab")
+    return mesh.ground_below(cameras, hits).select("id", _r("ground", 4).alias("ground"))
+
+
+@query
+def imagery_url(spark, sf):
+    """Both kinds of imagery service."""
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    hosts = F.array(*map(F.lit, ("t0", "t1", "t2")))
+    quad = text.quadkey_tile_url(F.lit("https://{subdomain}.example/a{quadkey}.jpeg?g=1"), hosts, z, x, y)
+    return _hits(spark, sf).select("id", "z", text.map_tile_url(F.lit("https://m.example/tiles/"), z, x, y, F.lit(".png")).alias("map_url"), quad.alias("quad_url"))
 
 
 @query
@@ -586,14 +619,14 @@ def stale_generation(spark, sf):
 @query
 def sweep_unused(spark, sf):
     blocks = table(spark, sf, "part").select(F.col("p_partkey").alias("block"))
-    users = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("block"))
+    users = table(spark, sf, "lineitem").select((F.col("l_partkey") - F.col("l_partkey") % 3).alias("block"))
     return lifecycle.sweep_unused(blocks, users, "block")
 
 
 @query
 def restore_key(spark, sf):
     """The image of each object: by its stored key, else by the one its tile implies."""
-    hits = _hits(spark, sf).where("z >= 5")
+    hits = _hits(spark, sf)
     own = text.material_name("I", F.lit("m"), [F.least(F.col("z"), F.lit(7)), geo.shift_right(F.col("x"), F.greatest(F.col("z") - 7, F.lit(0))), geo.shift_right(F.col("y"), F.greatest(F.col("z") - 7, F.lit(0)))])
     return hits.select("id", "z", F.coalesce(F.when(F.col("id") % 4 == 0, F.concat(F.lit("stored_"), F.col("id"))), own).alias("image_key"))
 
@@ -606,6 +639,16 @@ def fsm_replay(spark, sf):
     return fsm.replay(log).select("tile", "state", F.col("retries").cast("long").alias("retries"), "next_retry")
 
 
+@query
+def fsm_full(spark, sf):
+    from tilewright.streaming import fsm
+
+    kinds = ("fetch", "ok", "built", "http", "conn", "build_failed", "evict", "stale", "stop", "late", "graft_drawable", "graft_done", "nothing", "dead")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), F.when(F.col("event_id") % 97 == 0, 14).otherwise(F.col("event_id") * 7 % 13 + 1).cast("int"))
+    log = table(spark, sf, "events").select(F.col("user_id").alias("tile"), F.col("event_id").alias("seq"), kind.alias("outcome"), F.col("event_id").cast("double").alias("at"))
+    return fsm.replay_full(log).select("tile", "state", F.col("retries").cast("long").alias("retries"), "next_retry")
+
+
 # Styling -----------------------------------------------------------------------------------------
 
 
@@ -624,33 +667,71 @@ def cloud_profile(spark, sf):
     return p.select("id", _r(d, 9).alias("density"))
 
 
-# Binary and recursive formats: no SQL says these ---------------------------------------------------
+# Binary and recursive formats --------------------------------------------------------------------
+
+
+def _tiles_of_bytes(spark, sf):
+    from tilewright.sources import samples, terrain
+
+    part = lambda i: F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.terrain$", i).cast("long")
+    return terrain.decode(samples.tiles(spark, sf)).withColumns({"z": part(1).cast("int"), "x": part(2), "y": part(3)})
 
 
 @query
 def qm_decode(spark, sf):
-    from tilewright.sources import samples, terrain
+    out = _tiles_of_bytes(spark, sf)
+    count = F.when(F.col("error").isNull(), F.size("u").cast("long"))
+    return out.select("path", F.col("error").isNotNull().alias("damaged"), "min_h", "max_h", count.alias("n_vertices"), F.when(F.col("error").isNull(), (F.size("indices") / 3).cast("long")).alias("n_triangles"), "geometric_error")
+
 
-    return terrain.decode(samples.tiles(spark, sf)).select("path", "error", "min_h", "max_h", F.size("u").alias("n_vertices"), (F.size("indices") / 3).cast("long").alias("n_triangles"), "geometric_error")
+@query
+def mesh_from_bytes(spark, sf):
+    """Decoded tiles as meshes: a row for each vertex."""
+    whole = {"scale": F.lit(0.5), "u_off": F.lit(0.25), "v_off": F.lit(0.125)}
+    out = mesh.tile_mesh(_tiles_of_bytes(spark, sf).where("error is null").withColumns(whole), FRAME)
+    corner = F.element_at("loop_uvs", -1).cast("double")
+    rows = out.select("x", "y", "n_triangles", _r(corner, 6).alias("last_v"), _r(F.element_at("lows", 3), 2).alias("low_up"), F.posexplode("positions").alias("i", "p"))
+    return rows.select("x", "y", F.col("n_triangles").cast("long").alias("n_triangles"), "last_v", "low_up", F.col("i").cast("long").alias("i"), *(_r(F.col(f"p.{a}").cast("double"), 1).alias(a) for a in ("e", "n", "up")))
 
 
 @query
-def tileset_parse(spark, sf):
+def upsample_mesh(spark, sf):
+    """Of each decoded tile its child in the north-west, resampled: a row for each vertex."""
+    tiles = written(_tiles_of_bytes(spark, sf).where("error is null"), "decoded")
+    below = tiles.select((F.col("z") + 1).alias("z"), (F.col("x") * 2).alias("x"), (F.col("y") * 2 + 1).alias("y"), F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    out = mesh.upsample(below, tiles, n=5)
+    rows = out.select("x", "y", _r("min_h", 4).alias("min_h"), _r("max_h", 4).alias("max_h"), F.size("indices").cast("long").alias("n_loops"), F.element_at("east", 2).alias("second_east"), F.posexplode(F.arrays_zip("u", "v", "h")).alias("i", "p"))
+    return rows.select("x", "y", "min_h", "max_h", "n_loops", "second_east", F.col("i").cast("long").alias("i"), *(F.col(f"p.{c}").cast("long").alias(c) for c in "uvh"))
+
+
+def _parsed(spark, sf):
     from tilewright.sources import samples, tilesets
 
-    return tilesets.parse(samples.documents(spark, sf)).select("url", "error", "id", "parent", "depth", "geometric_error", "refine", "volume", "uri", F.element_at("world", 4).alias("moved_x"))
+    return tilesets.parse(samples.documents(spark, sf))
+
+
+@query
+def tileset_parse(spark, sf):
+    return _parsed(spark, sf).select("url", "error", "id", "parent", F.col("depth").cast("long").alias("depth"), "geometric_error", "refine", "volume", "uri", F.element_at("world", 4).alias("moved_x"))
+
+
+@query
+def tileset_boxes(spark, sf):
+    from tilewright.sources import tilesets
+
+    out = tilesets.with_boxes(_parsed(spark, sf).where("error is null"), FRAME)
+    return out.select("url", "id", *(_r(c, 2).alias(c) for c in _BOX))
 
 
 @query
 def unwrap_content(spark, sf):
     from tilewright.sources import samples, tilesets
 
-    return tilesets.unwrap(samples.contents(spark, sf)).select("url", "error", "part", F.length("model").alias("n_bytes"), "center")
+    out = tilesets.unwrap(samples.contents(spark, sf), "VENDOR_RTC")
+    return out.select("url", F.col("error").isNotNull().alias("damaged"), F.col("part").cast("long").alias("part"), F.length("model").cast("long").alias("n_bytes"), F.element_at("center", 1).alias("center_x"))
 
 
 @query
 def resolve_uri_full(spark, sf):
-    from tilewright.sources import tilesets
-
-    base = F.concat(F.substring_index("url", "?", 1), F.lit("?session=a%20b&key=k"))
-    return table(spark, sf, "pages").select("page_id", tilesets.resolved(base, F.concat(F.lit("../sub/"), F.col("page_id"), F.lit(".glb"))).alias("resolved"))
+    base = F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("?session=a%20b&key=k"))
+    return table(spark, sf, "pages").select("page_id", text.resolved(base, F.concat(F.lit("../sub/./"), F.col("page_id"), F.lit(".glb"))).alias("resolved"))

@@ -26,7 +26,7 @@ def _mapped(spark: SparkSession, sf: str, table: str, key: str, schema: str, mak
 def _tile(k: int) -> tuple[str, bytes]:
     u, v, h = [0, 32767, 0, 32767], [0, 0, 32767, 32767], [k % 32767, 0, 0, 32767]
     good = encode_tile(u, v, h, [(0, 1, 2), (2, 1, 3)], 0.0, float(k), metadata={"geometricerror": k / 2})
-    return f"8/{k % 512}/{k % 256}.terrain", good if k % 10 else good[: 60 + k % 40]
+    return f"8/{k % 512}/{k // 512}.terrain", good if k % 10 else good[: 60 + k % 40]
 
 
 def tiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,13 +37,13 @@ def tiles(spark: SparkSession, sf: str) -> DataFrame:
 def _document(k: int) -> tuple[str, str]:
     move = lambda x: [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, x, 0, 0, 1]
     leaf = lambda i: {"geometricError": 1, "boundingVolume": {"sphere": [0, 0, 0, i]}, "content": {"uri": f"{k}_{i}.glb"}}
-    root = {"geometricError": 100, "refine": "add", "boundingVolume": {"region": [0, 0, 1, 1, 0, 9]}, "transform": move(10), "children": [{"geometricError": 10, "boundingVolume": {"box": [0] * 12}, "transform": move(k), "children": [leaf(i) for i in range(k % 4)]}]}
+    root = {"geometricError": 100, "refine": "add", "boundingVolume": {"region": [0.5, 0.25, 0.51, 0.27, 0, 90]}, "transform": move(10), "children": [{"geometricError": 10, "boundingVolume": {"box": [5, 6, 7, 10, 0, 0, 0, 20, 0, 0, 0, 30]}, "transform": move(k), "children": [leaf(i) for i in range(k % 4)]}]}
     return f"https://t.example/{k}/tileset.json", json.dumps({"root": root} if k % 9 else {"asset": {}})
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """(url, doc): small trees, one in nine without a root."""
-    return _mapped(spark, sf, "nation", "n_nationkey", "url string, doc string", _document)
+    return _mapped(spark, sf, "supplier", "s_suppkey", "url string, doc string", _document)
 
 
 def _content(k: int) -> tuple[str, bytes]:
@@ -57,4 +57,4 @@ def _content(k: int) -> tuple[str, bytes]:
 
 def contents(spark: SparkSession, sf: str) -> DataFrame:
     """(url, content): models alone, in batches, in composites, and what holds none."""
-    return _mapped(spark, sf, "nation", "n_nationkey", "url string, content binary", _content)
+    return _mapped(spark, sf, "supplier", "s_suppkey", "url string, content binary", _content)

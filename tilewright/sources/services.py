@@ -6,12 +6,16 @@ import gzip
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.text import strip_html
+from tilewright.functions.text import sniff_ext, strip_html
+from tilewright.settings import Settings
+from tilewright.sources.shared import written
 
 TIMEOUT_S = 10.0
 _LAYER = "name string, tiles array<string>, version string, maxzoom int, projection string, attribution string, available array<array<struct<startX: long, startY: long, endX: long, endY: long>>>"
@@ -49,6 +53,14 @@ def hosted_asset(docs: DataFrame) -> DataFrame:
     return docs.select(d["type"].alias("type"), url.alias("url"), F.when(external.isNull(), d["accessToken"]).alias("token"), external.alias("external"), d["options"]["key"].alias("key"), credits.alias("attributions"))
 
 
+def terrain_asset(docs: DataFrame) -> DataFrame:
+    """hosted_asset() with an error for what can't be streamed as terrain: other kinds, and what others host."""
+    found = hosted_asset(docs)
+    other = F.concat(F.lit("an asset of type "), F.coalesce(F.nullif("type", F.lit("")), F.lit("?")), F.lit(" is no terrain"))
+    error = F.when(F.col("external").isNotNull(), F.concat(F.lit("hosted elsewhere: "), "external")).when(F.coalesce("type", F.lit("")) != "TERRAIN", other)
+    return found.withColumn("error", error)
+
+
 def tileset_root(url: Column, hosted: Column, external_key: Column) -> Column:
     """Where a hosted tree begins: the key appended unless there is one, /tileset.json unless a document is named."""
     path = F.regexp_extract(url, r"^[^?#]*", 0)
@@ -102,6 +114,60 @@ def read_through(wanted: DataFrame, cache: DataFrame, **how) -> DataFrame:
     return have.unionByName(fetch(wanted.select("url").join(cache.select("url"), "url", "left_anti"), **how))
 
 
+def cached(wanted: DataFrame, path: str, **how) -> DataFrame:
+    """read_through() a cache table (url, content) at a path; what was fetched is put into it."""
+    spark = wanted.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    cache = spark.read.schema("url string, content binary").parquet(path) if there else spark.createDataFrame([], "url string, content binary")
+    got = written(read_through(wanted, cache, **how), "read")
+    new = got.where("outcome = 'ok'").join(cache.select("url"), "url", "left_anti").select("url", "content")
+    new.write.mode("append").parquet(path)
+    return got
+
+
+def fetch_images(wanted: DataFrame, cache: DataFrame, **how) -> DataFrame:
+    """(url, outcome, ext, content) of image tiles; an answer that is no image means that there is none."""
+    got = read_through(wanted, cache, **how).withColumn("ext", sniff_ext(F.col("content")))
+    none = (F.col("outcome") == "ok") & (F.col("ext") == ".bin")
+    return got.select("url", F.when(none, "dead").otherwise(F.col("outcome")).alias("outcome"), F.when((F.col("outcome") == "ok") & ~none, F.col("ext")).alias("ext"), F.when(~none, F.col("content")).alias("content"))
+
+
+@dataclass(frozen=True)
+class Connected:
+    """What a session reads: its terrain and imagery (null: none), and what went wrong on the way."""
+
+    terrain: Any = None
+    imagery: Any = None
+    note: str = ""
+
+
+def _twice(connect: Callable[[], Any]) -> Any:
+    try:
+        return connect()
+    except Exception:
+        return connect()
+
+
+def connect_sources(settings: Settings, terrain: dict[str, Callable[[], Any]], imagery: dict[str, Callable[[], Any]]) -> Connected:
+    """Connects the sources that the settings choose; terrain and imagery: what to call for `url` and `asset`.
+
+    Each is tried once more if it fails.  Terrain that can't be reached is an error, imagery is done
+    without, which the note says; terrain `none` connects nothing.
+    """
+    if "asset" in (settings.terrain_source, settings.imagery_source) and not settings.token:
+        raise ValueError("hosted assets need a token")
+    if settings.terrain_source == "none":
+        return Connected(note="no terrain")
+    ground = _twice(terrain[settings.terrain_source])
+    if settings.imagery_source == "none":
+        return Connected(ground)
+    try:
+        return Connected(ground, _twice(imagery[settings.imagery_source]))
+    except Exception as e:
+        return Connected(ground, note=f"imagery off: {e}")
+
+
 def fetch_json(wanted: DataFrame, cache: DataFrame, **how) -> DataFrame:
     """(url, name, outcome, doc): documents from the cache or fetched; what isn't JSON is an http error and not to be kept.
 
