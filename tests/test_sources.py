@@ -28,6 +28,7 @@ def test_tile_packed_and_with_a_cut_extension():
     assert terrain.decode_tile(gzip.compress(plane()))["max_h"] == 200.0
     assert terrain.decode_tile(plane() + struct.pack("<BI", 4, 500) + b"{}")["metadata"] is None
     assert terrain.decode_tile(plane() + b"\x04")["metadata"] is None
+    assert terrain.decode_tile(plane() + struct.pack("<BI", 2, 1) + b"\xff")["water_mask"] == b"\xff"
 
 
 @pytest.mark.parametrize("data", [b"\0" * 50, b"\xff" * 200, b"", plane()[:100], b"\x1f\x8b" + b"x" * 100])

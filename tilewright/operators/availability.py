@@ -149,6 +149,11 @@ def ingest(metadata: DataFrame, absolute: bool = False, key: str = "z, x, y") ->
     return levels.select((F.col("base") + F.col("i")).cast("int").alias("level"), F.explode("rects").alias("r"), "ingest_seq").select("level", F.col("r.startX").alias("sx"), F.col("r.startY").alias("sy"), F.col("r.endX").alias("ex"), F.col("r.endY").alias("ey"), "ingest_seq")
 
 
+def max_level(rects: DataFrame) -> DataFrame:
+    """The deepest level of which anything is known to exist; 0 if nothing is."""
+    return rects.agg(F.coalesce(F.max("level"), F.lit(0)).cast("int").alias("max_level"))
+
+
 def coverage_center(rects: DataFrame) -> DataFrame:
     """Centre, in degrees, of the largest rectangle of the deepest level; the first ingested on a tie."""
     area = (F.col("ex") - F.col("sx") + 1) * (F.col("ey") - F.col("sy") + 1)

@@ -19,6 +19,11 @@ PALETTE = [
 ROCK = (0.412, 0.365, 0.306)
 
 
+def image_key(stored: Column, own: Column) -> Column:
+    """The image that an object gets back when a style is taken off: the one noted, else the one its tile implies."""
+    return F.coalesce(stored, own)
+
+
 def clamp(v: Column) -> Column:
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 

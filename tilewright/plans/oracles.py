@@ -176,6 +176,7 @@ sql("cover_complete", f"WITH {COVERS}, {FILES} SELECT z, x, y, m FROM deepest c
 sql("cover_fallback", f"WITH {COVERS}, {FILES} SELECT z, x, y, m, tx0, ty0, tx1, ty1 FROM covers c WHERE {WHOLE} QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY m DESC) = 1")
 sql("coverage_center", f"""WITH {RECTS} SELECT level, (ex - sx + 1) * (ey - sy + 1) AS area, round((sy + ey + 1) / 2.0::DOUBLE / (1::BIGINT << level::INT) * 180 - 90, 9) AS lat,
     round((sx + ex + 1) / 2.0::DOUBLE / (2::BIGINT << level::INT) * 360 - 180, 9) AS lon FROM avail_rects ORDER BY level DESC, area DESC, ingest_seq LIMIT 1""")
+sql("max_level", f"WITH {RECTS} SELECT coalesce(max(level), 0) AS max_level FROM avail_rects")
 sql("absent_lattice", f"""WITH {RECTS}, g AS (SELECT 7::BIGINT AS z, x, y FROM range(16, 256, 32) a(x), range(8, 128, 16) b(y))
     SELECT z, x, y FROM g WHERE NOT {THERE.format(z='7', x='g.x', y='g.y')} ORDER BY x, y LIMIT 20""")
 META = """meta AS (SELECT (s_suppkey % 5 + 1)::BIGINT AS z, s_suppkey % 4 AS x, (s_suppkey * 3) % 2 AS y, s_suppkey AS k,

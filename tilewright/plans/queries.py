@@ -267,6 +267,11 @@ def coverage_center(spark, sf):
     return out.select(F.col("level").cast("long").alias("level"), "area", _r("lat", 9).alias("lat"), _r("lon", 9).alias("lon"))
 
 
+@query
+def max_level(spark, sf):
+    return av.max_level(derive.avail_rects(spark, sf)).select(F.col("max_level").cast("long").alias("max_level"))
+
+
 @query
 def absent_lattice(spark, sf):
     return av.absent_lattice(derive.avail_rects(spark, sf), 7, 20).select(F.col("z").cast("long").alias("z"), "x", "y")
@@ -628,7 +633,7 @@ def restore_key(spark, sf):
     """The image of each object: by its stored key, else by the one its tile implies."""
     hits = _hits(spark, sf)
     own = text.material_name("I", F.lit("m"), [F.least(F.col("z"), F.lit(7)), geo.shift_right(F.col("x"), F.greatest(F.col("z") - 7, F.lit(0))), geo.shift_right(F.col("y"), F.greatest(F.col("z") - 7, F.lit(0)))])
-    return hits.select("id", "z", F.coalesce(F.when(F.col("id") % 4 == 0, F.concat(F.lit("stored_"), F.col("id"))), own).alias("image_key"))
+    return hits.select("id", "z", style.image_key(F.when(F.col("id") % 4 == 0, F.concat(F.lit("stored_"), F.col("id"))), own).alias("image_key"))
 
 
 @query

@@ -21,7 +21,7 @@ HEADER = 92
 DECODED = (
     "path string, error string, center array<double>, min_h double, max_h double, sphere array<double>, occlusion array<double>, "
     "u array<int>, v array<int>, h array<int>, indices array<long>, west array<long>, south array<long>, east array<long>, north array<long>, "
-    "normals binary, metadata string, geometric_error double"
+    "normals binary, water_mask binary, metadata string, geometric_error double"
 )
 
 
@@ -73,7 +73,7 @@ def decode_tile(data: bytes) -> dict:
     if len(indices) and (indices.max() >= n or indices.min() < 0):
         raise TileError(f"an index is outside 0 .. {n - 1}")
     edges = [r.take(kind, r.count()).astype(np.int64) for _ in range(4)]
-    normals, metadata = None, None
+    normals, water, metadata = None, None, None
     while r.at + 5 <= len(data):
         what, size = struct.unpack_from("<BI", data, r.at)
         body = data[r.at + 5 : r.at + 5 + size]
@@ -82,6 +82,8 @@ def decode_tile(data: bytes) -> dict:
         r.at += 5 + size
         if what == 1 and size >= 2 * n:
             normals = body[: 2 * n]
+        elif what == 2 and size in (1, 65536):
+            water = body
         elif what == 4 and size >= 4:
             length = struct.unpack_from("<I", body)[0]
             if length <= size - 4:
@@ -99,14 +101,14 @@ def decode_tile(data: bytes) -> dict:
         "center": center.tolist(), "min_h": float(heights[0]), "max_h": float(heights[1]), "sphere": sphere.tolist(), "occlusion": occlusion.tolist(),
         "u": running[0], "v": running[1], "h": running[2], "indices": indices,
         "west": edges[0], "south": edges[1], "east": edges[2], "north": edges[3],
-        "normals": normals, "metadata": None if metadata is None else json.dumps(metadata), "geometric_error": error,
+        "normals": normals, "water_mask": water, "metadata": None if metadata is None else json.dumps(metadata), "geometric_error": error,
     }
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in DECODED.split(", ")]
     text, real, ints, longs = pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64())
-    kinds = [text, text, pa.list_(real), real, real, pa.list_(real), pa.list_(real), ints, ints, ints, longs, longs, longs, longs, longs, pa.binary(), text, real]
+    kinds = [text, text, pa.list_(real), real, real, pa.list_(real), pa.list_(real), ints, ints, ints, longs, longs, longs, longs, longs, pa.binary(), pa.binary(), text, real]
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part, rows = batch.slice(at, 64), []
