@@ -66,6 +66,18 @@ def release(spark: SparkSession, *but: DataFrame, since: int = 0) -> None:
         _tables.remove(path)
 
 
+def release_unread(df: DataFrame, since: int) -> DataFrame:
+    """The frame; deletes the tables that written() made after a mark and that its plan doesn't read."""
+    read = df.inputFiles()
+    gone = [path for path in _tables[since:] if not any(path.rpartition("/")[2] in file for file in read)]
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _tables.remove(path)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -96,6 +108,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterat
             yield batch.slice(at, rows)
 
 
+def slices(array: pa.Array, rows: int = 512) -> Iterator[pa.Array]:
+    """The array in parts, so that few values at a time are Python objects."""
+    for at in range(0, len(array), rows):
+        yield array.slice(at, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; wraps silently."""
     x = np.asarray(x, dtype=np.uint64)

@@ -48,6 +48,8 @@ def byte_level_encoder(path: str) -> tiktoken.Encoding:
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
     vocab, added = held["model"]["vocab"], {x["content"]: x["id"] for x in held.get("added_tokens") or []}
+    if held.get("normalizer") or (held.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or held["pre_tokenizer"].get("add_prefix_space"):
+        raise ValueError(f"{path}: texts are changed before they are cut, or cut by other rules")
     if unlike := [x["content"] for x in held.get("added_tokens") or [] if x["single_word"] or x["lstrip"] or x["rstrip"]]:
         raise ValueError(f"{path}: added tokens that take in or need what is beside them: {unlike}")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,7 +142,7 @@ def pack_pieces(rows: DataFrame, size: int = 2048, open_bins: int = 1024) -> Dat
         held = list(batches)
         if not held:
             return
-        table = pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).drop_columns(["__order"])
         lengths = table["length"].to_numpy()
         bins = pack(lengths, size, open_bins)
         order = np.argsort(bins, kind="stable")
@@ -153,8 +155,9 @@ def pack_pieces(rows: DataFrame, size: int = 2048, open_bins: int = 1024) -> Dat
         table = table.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
         yield from table.to_batches(max_chunksize=100_000)
 
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = rows.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "length")
+    # By place as well: ids may be null or repeat, and equal pieces must not be one task's.
+    order = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = rows.withColumn("__order", order).repartition(tasks, "__order").sortWithinPartitions("__order")
     return dealt.mapInArrow(run, f"{_PIECES}, sequence_id long, offset long")
 
 

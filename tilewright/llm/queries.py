@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm import bpe, exact_dedup, fingerprints, langid, line_dedup, lm, ngram_join, packing, quality, toxicity
-from tilewright.llm.common import documents, labels
+from tilewright.llm.common import documents, labels, release_unread, tables
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query; tables that only led to its result are deleted once it is planned."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mark = tables()
+        return release_unread(query(spark, sf_dir), mark)
+
+    return run
+
+
+@tidy
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=2048)
 
@@ -27,6 +40,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(documents(spark, sf_dir))
 
 
+@tidy
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -35,6 +49,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), labels(spark, sf_dir), folds=3, fold=1)
 
 
+@tidy
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(documents(spark, sf_dir), folds=5, fold=1)
 
@@ -43,10 +58,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), folds=4, fold=2)
 
 
+@tidy
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(documents(spark, sf_dir), threshold=0.8, words=5)
 
 
+@tidy
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.decide(documents(spark, sf_dir), threshold=0.8, size=5)
 
