@@ -5,6 +5,12 @@ again as the next stage's docs.  All but the last return the columns of docs, wh
 Decisions on single texts (toxicity, language) filter where the texts are read; decisions that
 compare texts come back as the rows that go, named by id and text digest, which are few and, while
 counted to be few, broadcast: rows of one id (or of none) with other texts are not touched.
+
+Defined results: a null text is not toxic, in no language (it goes there), and a copy of an empty one;
+null ids come last where the largest or smallest stays; rows equal in id and text are copies; of
+near copies the first of each connected group stays, so a row may go that is like another which goes, and
+not like the one that stays; in an empty table nothing is learned and nothing goes; further columns,
+whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
