@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tilewright.llm.common import bucket_of, small_batches, texts
+from tilewright.llm.common import bucket_of, slices, small_batches, texts
 
 PROFILE = 400
 LANGUAGES = 10_000
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -147,7 +147,7 @@ def language_column(profiles: Profiles, text: Column) -> Column:
 
     @F.arrow_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     def predict(array: pa.Array) -> pa.Array:
-        got = [profiles.predict(x) for x in array.to_pylist()]
+        got = [profiles.predict(x) for part in slices(array) for x in part.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["lang_pred", "score"])
 
     return predict(text)

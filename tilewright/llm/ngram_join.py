@@ -35,7 +35,7 @@ TREES, LONGEST, TARGET = 24, 12, 0.999
 #: By signature, pivots cover documents at least COVER alike; a pair at the threshold has one's pivot 0.65 like
 #: the other or more, and estimates are off by 0.1 less than once in a thousand.
 LOW, COVER = 0.55, 0.85
-_KEEP = 200_000
+_KEEP = 100_000
 
 
 class WordShingles:

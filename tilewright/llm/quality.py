@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import bucket_of, text_bytes
+from tilewright.llm.common import bucket_of, slices, text_bytes
 from tilewright.llm.sampling import labelled
 
 CHUNK, OVERLAP = 256, 16
@@ -152,9 +152,8 @@ def score_column(model: ByteConvNet, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(array: pa.Array) -> pa.Array:
-        found = text_bytes(array)
         # Few texts at a time: a long one is many chunks.
-        out = [model.score(found[i : i + 32]) for i in range(0, len(found), 32)]
+        out = [model.score(text_bytes(part)) for part in slices(array, 32)]
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return score(text)

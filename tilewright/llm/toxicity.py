@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import bucket_of, small_batches, texts
+from tilewright.llm.common import bucket_of, slices, small_batches, texts
 from tilewright.llm.sampling import labelled
 
 BITS = 20
@@ -39,7 +39,7 @@ def terms_of(word: str) -> list[int]:
 class Terms:
     """Texts to arrays of term numbers; a word's terms are kept for a bounded number of words."""
 
-    def __init__(self, number: np.ndarray | None = None, keep: int = 400_000):
+    def __init__(self, number: np.ndarray | None = None, keep: int = 100_000):
         self.number = number  # hashed term -> number in the model or -1; None: hashes themselves
         self.keep = keep
         self.known: dict[str, tuple[int, ...]] = {}
@@ -206,7 +206,7 @@ def score_column(model: FactorizationMachine, text: Column) -> Column:
     def score(array: pa.Array) -> pa.Array:
         if "terms" not in state:
             state["terms"] = Terms(model.numbers())
-        return pa.array([model.score(state["terms"].of(x)) for x in texts(array)], pa.float64())
+        return pa.array([model.score(state["terms"].of(x)) for part in slices(array) for x in texts(part)], pa.float64())
 
     return score(text)
 
