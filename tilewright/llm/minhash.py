@@ -33,7 +33,7 @@ from tilewright.llm.union_find import components, roots
 
 #: Stored texts to the shingles of all, one text after another, and where each begins.
 Shingles = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-PART = 4096
+PART = 1024
 BLOCK = 256
 #: Keys are salted that are thought to have more items than this, as seen in about SEEN of them.
 HOT = 1_000_000
@@ -151,15 +151,16 @@ class Forest:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rest, node) in order of key and rest to (key, part, rest, node) of the distinct nodes of runs with two or more.
+    """Rows (key[, rest], node) in order of key and rest to (key, part, rest, node) of the distinct nodes of runs with two or more.
 
     Nodes are put in order within a batch; one that comes again in a run's next batch counts again.
     """
     last: tuple[int, int, int, int] | None = None
     for batch in batches:
-        key, rest, node = (batch[c].to_numpy() for c in ("key", "rest", "node"))
+        key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
         if not len(key):
             continue
+        rest = batch["rest"].to_numpy() if "rest" in batch.schema.names else np.zeros(len(key), np.int64)
         same = key[1:] == key[:-1]
         again = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
         node, rest = node.copy(), rest.copy()
@@ -285,7 +286,10 @@ def _salted(items: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame |
         return pairs, None
     frequent = pairs.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).groupBy("key").count()
     frequent = frequent.where((F.col("count") >= SEEN // 800) & (F.col("count") * every > HOT)).select("key", F.ceil(F.col("count") * every / HOT).cast("int").alias("salts"))
-    frequent = small_or_shuffled(written(frequent, "frequent-keys"))
+    frequent = written(frequent, "frequent-keys")
+    if frequent.isEmpty():
+        return pairs, None
+    frequent = small_or_shuffled(frequent)
     salted = lambda key, salt: F.xxhash64(key, salt).bitwiseOR(F.lit(1))
     salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
     dealt = pairs.join(frequent, "key", "left").withColumn("key", F.when(F.col("salts").isNull(), F.col("key")).otherwise(salted("key", salt))).drop("salts")
@@ -302,7 +306,7 @@ def candidate_components(items: DataFrame, low: float, cover: float, forest: For
     if forest:
         pairs = keyed.select(F.inline(F.arrays_zip("keys", "rest")).alias("key", "rest"), "node")
     else:
-        pairs = keyed.select(F.explode("keys").alias("key"), F.lit(0).cast("long").alias("rest"), "node")
+        pairs = keyed.select(F.explode("keys").alias("key"), "node")
     pairs, stands = _salted(keyed, pairs)
     order = ["key", "rest"] if forest else ["key"]
     runs = pairs.repartition("key").sortWithinPartitions(*order).mapInArrow(_runs, "key long, part int, rest long, node long")
