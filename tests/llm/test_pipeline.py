@@ -1,6 +1,7 @@
 """The stages of the pipeline, one after another, against brute force and planted rows."""
 
 import collections
+import math
 import zlib
 
 import corpus_pipeline
@@ -22,8 +23,8 @@ def planted(spark, sf):
     base = [a + b for a in parts for b in parts]
     family = [" ".join([*base[:i], "ofthat", *base[i + 1 :]]) for i in (5, 17, 29, 41, 53, 65)]
     cases = {
-        "copy a": "one two three four five six seven eight nine ten and of the thing",
-        "copy b": "one two three four five six seven eight nine ten and of the thing",
+        "copy a": f"the thin anderes of {clean} onted that",
+        "copy b": f"the thin anderes of {clean} onted that",
         "marks": "!!! 123 ... ###",
         "none": None,
         "clean": clean,
@@ -71,7 +72,7 @@ def test_language_drops_what_is_in_none(stages, planted):
     for r in rows:
         lang, score = found[r["doc_id"]]
         if held(r["doc_id"]) and r["lang"] == lang:
-            least[lang] = min(least[lang], score)
+            least[lang] = min(least[lang], math.floor(score * 10_000) / 10_000)
     # Of so few held-out texts the rarest thousandth is the least.
     want = {i for i, (lang, score) in found.items() if lang == "und" or score < (least[lang] if lang in least else 0.0)}
     assert _ids(before) - _ids(after) == want >= {planted[1]["marks"], planted[1]["none"]}
