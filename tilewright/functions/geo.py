@@ -61,6 +61,10 @@ class Frame:
         ox, oy, oz = self.origin
         return tuple((x - ox) * a + (y - oy) * b + (z - oz) * c for a, b, c in self.axes)
 
+    def from_ecef_shift(self) -> tuple[float, ...]:
+        """What from_ecef() adds to the products of a point with the axes."""
+        return tuple(-sum(a * b for a, b in zip(axis, self.origin, strict=True)) for axis in self.axes)
+
     def from_geodetic(self, lon: Column, lat: Column, h: Column) -> tuple[Column, Column, Column]:
         return self.from_ecef(*ecef(lon, lat, h))
 

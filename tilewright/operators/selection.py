@@ -34,19 +34,23 @@ def _boxes(rows: DataFrame, key: list[str], west, south, east, north, low, high,
     ends = dict(zip(("__w", "__s", "__e", "__n", "__h0", "__h1"), (west, south, east, north, low.cast("double"), high.cast("double")), strict=True))
     at = rows.withColumns(ends)
     span = geo.A * F.greatest(c("__e") - c("__w"), c("__n") - c("__s")) / float(n - 1)
-    # A point's earth-centred coordinates are products of a number of its longitude and one of its latitude and height.
-    turn, rise = {"__margin": F.least(span * span / (2.0 * geo.A), F.lit(geo.A))}, {}
+    # A point is r (a cos lon + b sin lon) + c z + d on each axis of the frame, r and z of its latitude and height alone
+    # and r never negative: so the ends over longitudes are taken first, and then those over latitudes and heights.
+    shift = frame.from_ecef_shift()
+    turn, rise, ends = {"__margin": F.least(span * span / (2.0 * geo.A), F.lit(geo.A))}, {}, {}
     for i, t in enumerate(steps):
         lon, lat = c("__w") + t * (c("__e") - c("__w")), c("__s") + t * (c("__n") - c("__s"))
         turn |= {f"__cos{i}": F.cos(lon), f"__sin{i}": F.sin(lon), f"__lat{i}": lat}
         rise |= {f"__{name}{i}{k}": v for k in (0, 1) for name, v in zip("rz", geo.meridian(c(f"__lat{i}"), c(f"__h{k}")), strict=True)}
+    for m, (x, y, _) in zip("xyz", frame.axes, strict=True):
+        along = [x * c(f"__cos{i}") + y * c(f"__sin{i}") for i in range(n)]
+        rise |= {f"__lo_{m}": F.least(*along), f"__hi_{m}": F.greatest(*along)}
     at = at.withColumns(turn).withColumns(rise)
-    corners = [(c(f"__r{j}{k}") * c(f"__cos{i}"), c(f"__r{j}{k}") * c(f"__sin{i}"), c(f"__z{j}{k}")) for i in range(n) for j in range(n) for k in (0, 1)]
-    local = [frame.from_ecef(*p) for p in corners]
-    at = at.withColumns({f"__{a}": F.array(*(p[m] for p in local)) for m, a in enumerate("xyz")})
-    low_ = [(F.array_min(f"__{a}") - c("__margin")).alias(f"lo_{a}") for a in "xyz"]
-    high_ = [(F.array_max(f"__{a}") + c("__margin")).alias(f"hi_{a}") for a in "xyz"]
-    return at.select(*key, *low_, *high_)
+    for m, (_, _, z), d in zip("xyz", frame.axes, shift, strict=True):
+        for end, pick, sign in (("lo", F.least, -1.0), ("hi", F.greatest, 1.0)):
+            points = [c(f"__r{j}{k}") * c(f"__{end}_{m}") + z * c(f"__z{j}{k}") for j in range(n) for k in (0, 1)]
+            ends[f"{end}_{m}"] = pick(*points) + d + sign * c("__margin")
+    return at.select(*key, *(ends[f"{end}_{m}"].alias(f"{end}_{m}") for end in ("lo", "hi") for m in "xyz"))
 
 
 def region_boxes(rows: DataFrame, key: list[str], frame: geo.Frame) -> DataFrame:
