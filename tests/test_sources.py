@@ -286,3 +286,13 @@ def test_nearest_vertices_far_away(spark):
     got = {r["point"]: r["h"] for r in mesh.nearest_vertex(points, vertices, "mesh", "point", 50.0).collect()}
     assert got == {0: 0.0, 1: 4.0, 2: 0.0}
     assert mesh.nearest_vertex(points.where("mesh = 2"), vertices, "mesh", "point", 50.0).count() == 0
+
+
+def test_nets_are_not_broadcast(spark):
+    """A triangle's cells are many times what Spark takes them for; broadcast, they would fill the driver."""
+    points = spark.createDataFrame([(1, 1, 0.2, 0.2), (1, 2, 5.0, 5.0)], "mesh long, point long, px double, py double")
+    triangles = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 1.0, 0.0, 2.0, 0.0, 1.0, 3.0)], "mesh long, tri long, x1 double, y1 double, h1 double, x2 double, y2 double, h2 double, x3 double, y3 double, h3 double")
+    vertices = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0), (1, 1, 1.0, 0.0, 2.0), (1, 2, 0.0, 1.0, 3.0)], "mesh long, v long, vx double, vy double, vh double")
+    found = mesh.sample_net(points, triangles, vertices, "mesh", "point", 0.25)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["point"], round(r["h"], 6), r["hit"]) for r in found.collect()} == {(1, 1.6, True), (2, 2.0, False)}

@@ -43,13 +43,14 @@ def sample_net(points: DataFrame, triangles: DataFrame, vertices: DataFrame, mes
     pts = points.withColumn("cx", at(F.col("px"))).withColumn("cy", at(F.col("py")))
     c = F.col
     d = (c("y2") - c("y3")) * (c("x1") - c("x3")) + (c("x3") - c("x2")) * (c("y1") - c("y3"))
-    met = pts.join(cells, [mesh, "cx", "cy"]).withColumn("d", F.nullif(d, F.lit(0.0)))
+    # Hinted, as Spark takes an exploded frame to be as small as what it comes from and would broadcast it.
+    met = pts.join(cells.hint("merge"), [mesh, "cx", "cy"]).withColumn("d", F.nullif(d, F.lit(0.0)))
     met = met.withColumn("w1", ((c("y2") - c("y3")) * (c("px") - c("x3")) + (c("x3") - c("x2")) * (c("py") - c("y3"))) / c("d"))
     met = met.withColumn("w2", ((c("y3") - c("y1")) * (c("px") - c("x3")) + (c("x1") - c("x3")) * (c("py") - c("y3"))) / c("d"))
     met = met.withColumn("w3", 1.0 - c("w1") - c("w2")).where((c("w1") >= -eps) & (c("w2") >= -eps) & (c("w3") >= -eps))
     height = c("w1") * c("h1") + c("w2") * c("h2") + c("w3") * c("h3")
     hits = met.groupBy(mesh, point).agg(F.min_by(height, "tri").alias("h")).withColumn("hit", F.lit(True))
-    missed = points.join(hits.select(mesh, point), [mesh, point], "left_anti").select(mesh, point, "px", "py")
+    missed = points.join(hits.select(mesh, point).hint("merge"), [mesh, point], "left_anti").select(mesh, point, "px", "py")
     return hits.unionByName(nearest_vertex(missed, vertices, mesh, point, cell).withColumn("hit", F.lit(False)))
 
 
@@ -62,7 +63,7 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, mesh: str, point: str
     c = F.col
     at = lambda v: F.floor(v / cell).cast("long")
     cells = vertices.select(mesh, at(c("vx")).alias("cx"), at(c("vy")).alias("cy"), "vx", "vy", "vh", "v")
-    left = written(points.join(vertices.select(mesh).distinct(), mesh, "left_semi").withColumn("cx", at(c("px"))).withColumn("cy", at(c("py"))), "missed")
+    left = written(points.join(vertices.select(mesh).distinct().hint("merge"), mesh, "left_semi").withColumn("cx", at(c("px"))).withColumn("cy", at(c("py"))), "missed")
     out, reach = None, 1
     apart = (c("vx") - c("px")) * (c("vx") - c("px")) + (c("vy") - c("py")) * (c("vy") - c("py"))
     while not left.isEmpty():
@@ -71,10 +72,10 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, mesh: str, point: str
         wide = lambda v: F.floor(v / reach).cast("long")
         here = left.withColumn("gx", F.explode(F.transform(ring, lambda i: wide(c("cx")) + i))).withColumn("gy", F.explode(F.transform(ring, lambda i: wide(c("cy")) + i)))
         there = cells.withColumns({"gx": wide(c("cx")), "gy": wide(c("cy"))}).drop("cx", "cy")
-        best = here.join(there, [mesh, "gx", "gy"]).groupBy(mesh, point).agg(F.min(F.struct(apart.alias("d"), c("v"), c("vh"))).alias("best"))
+        best = here.join(there.hint("merge"), [mesh, "gx", "gy"]).groupBy(mesh, point).agg(F.min(F.struct(apart.alias("d"), c("v"), c("vh"))).alias("best"))
         found = written(best.where(c("best.d") <= (reach * cell) ** 2).select(mesh, point, c("best.vh").alias("h")), "nearest")
         out = found if out is None else out.unionByName(found)
-        left = written(left.join(found.select(mesh, point), [mesh, point], "left_anti"), "missed")
+        left = written(left.join(found.select(mesh, point).hint("merge"), [mesh, point], "left_anti"), "missed")
         reach *= 2
     return out if out is not None else points.join(vertices.select(mesh, F.col("vh").alias("h")), mesh).select(mesh, point, "h").limit(0)
 
