@@ -18,8 +18,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewright.llm import bpe, exact_dedup, fingerprints, langid, line_dedup, lm, minhash, ngram_join, packing, quality, queries, toxicity
-from tilewright.llm.common import bucket_of
+from tilewright.llm import bpe, common, exact_dedup, fingerprints, langid, line_dedup, lm, minhash, ngram_join, packing, quality, queries, toxicity
+from tilewright.llm.common import bucket_of, written
 from tilewright.llm.mph import PerfectHash
 from tilewright.llm.union_find import components
 
@@ -856,6 +856,64 @@ def test_lines_odd_rows(spark):
     assert line_dedup.decide(table(spark, [])).count() == 0
 
 
+def _changed_lines(n=60, seed=3):
+    rng = np.random.default_rng(seed)
+    lines = ["".join(rng.choice(list("abcdefgh ij"), 90)).strip() or "x" for _ in range(n)]
+    return list(enumerate("\n".join([x, x[:40] + "#" + x[41:], f"own line {i}", lines[i - 1]]) for i, x in enumerate(lines)))
+
+
+def test_lines_with_shuffled_tables(spark, monkeypatch):
+    """What is too large to broadcast goes through sieves; no text and no key is written with the occurrences."""
+    held = {}
+    put = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: held.setdefault(name, put(df, name)))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = _changed_lines()
+    _check_lines(line_dedup.decide(table(spark, [t for _, t in rows])).collect(), rows)
+    assert set(held["line-features"].columns) == {"row", "doc_id", "n_lines", "pos", "node", "low", "sig"}
+
+
+def test_lines_with_salted_keys(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SEEN", 40)
+    monkeypatch.setattr(minhash, "HOT", 30)
+    rows = _changed_lines()
+    _check_lines(line_dedup.decide(table(spark, [t for _, t in rows])).collect(), rows)
+
+
+@pytest.mark.parametrize("rows", [3, 8])
+def test_lines_with_other_bands(spark, rows):
+    lines = _changed_lines()
+    _check_lines(line_dedup.decide(table(spark, [t for _, t in lines]), rows=rows, target=0.9999).collect(), lines)
+
+
+def test_lines_that_meet_by_chance_stay_where_they_are():
+    """Their number grows with the square of the lines', and so would the table of what met."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60)]
+    lines = [" ".join(rng.choice(words, 12)) for _ in range(4000)]
+    lines += [x[:-1] + "#" for x in lines[:100]]
+    kept = minhash.as_bytes(minhash.Hashes(60).signatures(*line_dedup.LineShingles().of(lines)))
+    bands, node = line_dedup._bands(12, 5), np.repeat(np.arange(4100), 12)
+    key = bands.keys(kept).reshape(-1)
+    sketch = bands.sketches(kept).reshape(-1)
+    met = np.unique(key[:48_000], return_counts=True)[1]
+    assert len(minhash._judged(key[:48_000], sketch[:48_000], node[:48_000])[0]) < 0.5 * met[met > 1].sum()
+    got, place, stayed = minhash._judged(key, sketch, node)
+    assert set(range(100)) | set(range(4000, 4100)) <= set(stayed.tolist())
+    assert len(np.unique(got)) == (place == 0).sum()
+
+
+def test_sieve_lets_all_keys_through_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    keys = written(spark.range(0, 100_000, 5).withColumnRenamed("id", "node"), "keys")
+    got = common.sieved(spark.range(100_000).withColumnRenamed("id", "node").withColumn("z", F.lit("z")), keys, ["node"])
+    assert got.columns == ["node", "z"]
+    found = [r["node"] for r in got.select("node").collect()]
+    assert len(found) == len(set(found)) and set(range(0, 100_000, 5)) <= set(found) and len(found) < 29_000
+    monkeypatch.setattr(common, "SIEVE_MOST", 1 << 10)
+    assert common.sieved(keys, keys, ["node"]).count() == 20_000
+
+
 def test_lines_rewritten(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, ["a first line\n\nmine", "yours\na first line\n", None])).collect()}
     assert got == {0: "a first line\n\nmine", 1: "yours\n", 2: None}
