@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import bucket_of, slices, small_batches, texts
+from tilewright.llm.common import bucket_of, forget_shuffles, give_back, slices, small_batches, texts
 from tilewright.llm.sampling import labelled
 
 BITS = 20
@@ -71,7 +71,7 @@ def alone(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.maximum(errors, np.sqrt(2 * np.maximum(gain, 0.0)))
 
 
-def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np.ndarray, paired: float, block: int = 1024) -> np.ndarray:
+def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np.ndarray, paired: float, block: int = 512) -> np.ndarray:
     """For each term the most standard errors by which rows with it and another term differ from what both say alone.
 
     All pairs of terms are counted that are in as many rows as it takes, with classes of one size, to
@@ -138,19 +138,23 @@ class FactorizationMachine:
         n = np.bincount(labels, minlength=2)
         if n.min() == 0:
             return cls(np.zeros(0, np.int64), -40.0, np.zeros(0), np.zeros((0, factors)))
-        apart = alone(seen, n)
+        # Of a million hashed terms few are in `least` rows; only these are judged.
+        enough = np.flatnonzero(seen.sum(axis=0) >= least)
+        apart = np.full(size, -1.0)
+        apart[enough] = alone(seen[:, enough], n)
         if clear > 0:
             # A term that says nothing alone counts as much as its clearest pair, on the same scale.
             together = in_pairs(rows, labels, seen, n, paired)
-            apart = np.maximum(apart, np.where(together >= paired, together, 0.0))
-        apart[(seen.sum(axis=0) < least) | (apart < clear)] = -1.0
+            apart[enough] = np.maximum(apart[enough], np.where(together[enough] >= paired, together[enough], 0.0))
+        apart[apart < clear] = -1.0
+        del seen
         hashed = np.sort(np.argsort(-apart, kind="stable")[:terms])
         hashed = hashed[apart[hashed] >= 0]
         model = cls(hashed, float(np.log(n[1] / n[0])), np.zeros(len(hashed)), np.zeros((len(hashed), factors)))
         number = model.numbers()
         rng = np.random.default_rng(7)
         model.factor[:] = rng.normal(0, 0.01, model.factor.shape)
-        kept = [x[x >= 0] for x in (number[ids] for ids in rows)]
+        kept = [x[x >= 0].astype(np.int32) for x in (number[ids] for ids in rows)]
         gw, gv, gb = np.full(len(hashed), 1e-8), np.full(model.factor.shape, 1e-8), 1e-8
         for _ in range(epochs):
             order = rng.permutation(len(kept))
@@ -194,8 +198,13 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per
     flat = table["terms"].combine_chunks()
     flat = flat if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks)
     offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    rows = [values[lo:hi].astype(np.int64) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
-    return FactorizationMachine.fit(rows, table["label"].to_numpy().astype(np.int64))
+    # Views, and the fit's tables go back to the system: later stages share this process and its limit.
+    rows = [values[lo:hi] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+    forget_shuffles(docs.sparkSession)
+    model = FactorizationMachine.fit(rows, table["label"].to_numpy().astype(np.int64))
+    del rows, values, flat, table
+    give_back()
+    return model
 
 
 def score_column(model: FactorizationMachine, text: Column) -> Column:
