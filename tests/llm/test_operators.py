@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewright.llm import bpe, common, exact_dedup, fingerprints, langid, line_dedup, lm, minhash, ngram_join, packing, quality, queries, toxicity
+from tilewright.llm import bpe, common, exact_dedup, fingerprints, langid, line_dedup, lm, minhash, ngram_join, packing, quality, queries, toxicity, union_find
 from tilewright.llm.common import bucket_of, written
 from tilewright.llm.mph import PerfectHash
 from tilewright.llm.union_find import components
@@ -79,6 +79,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_need_rounds_only_if_large(spark, monkeypatch):
+    edges = [(int(a), int(b)) for a, b in np.random.default_rng(2).integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(500, 600)] * 2
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    mark = common.tables()
+    once = {tuple(r) for r in components(frame).collect()}
+    assert common.tables() == mark + 1
+    # The same by rounds, from stars that several tasks give.
+    monkeypatch.setattr(union_find, "_HELD", 0)
+    by_rounds = components(frame).collect()
+    assert common.tables() > mark + 2 and {tuple(r) for r in by_rounds} == once and len(by_rounds) == len(once)
+
+
 # Packing -----------------------------------------------------------------------------------------
 
 
