@@ -151,6 +151,15 @@ def test_deep_selection_agrees(spark, sf):
     assert {tuple(r) for r in wide.collect()} == {tuple(r) for r in deep.collect()}
 
 
+def test_filters_on_visible_tiles_leave_boxes_alone(spark, sf):
+    from tilewright.plans import derive, queries
+
+    tiles = spark.createDataFrame([(0, 0, 0, "built"), (0, 1, 0, "built")], "z int, x long, y long, state string")
+    facts = selection.tile_facts(tiles, derive.avail_rects(spark, sf), queries.HIGH, queries.FRAME, 4.0, 4, 5)
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(facts.where("visible_now")) < 2 * size(facts)
+
+
 def _nodes(spark, rows):
     schema = "id long, parent long, depth int, error double, refine string, uri string, is_ready boolean"
     df = spark.createDataFrame(rows, schema)

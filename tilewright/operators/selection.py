@@ -72,7 +72,10 @@ def tile_facts(tiles: DataFrame, rects: DataFrame, camera: Camera, frame: geo.Fr
     own_error = F.coalesce(F.col("geometric_error"), geo.default_error(z)) if "geometric_error" in tiles.columns else geo.default_error(z)
     boxed = tile_boxes(tiles, frame).withColumn("dist", geo.box_distance(lo, hi, pos))
     error = F.greatest(own_error, geo.imagery_floor(z, x, y, imagery_max_z))
-    seen = boxed.withColumn("visible_now", geo.box_in_planes(lo, hi, planes) & (F.col("dist") <= limit)).withColumn("err", F.round(geo.sse(error, F.col("dist"), camera.height_px, camera.p11, camera.perspective), 6))
+    # Always true, but not deterministic to Spark, so a filter on visible_now stays above the box's columns: below them it
+    # would hold every point's terms again for each plane, millions of characters of code.
+    stays = F.monotonically_increasing_id() >= 0
+    seen = boxed.withColumn("visible_now", geo.box_in_planes(lo, hi, planes) & (F.col("dist") <= limit) & stays).withColumn("err", F.round(geo.sse(error, F.col("dist"), camera.height_px, camera.p11, camera.perspective), 6))
     there = available(seen.where(z > imagery_max_z).select("z", "x", "y").distinct(), rects).withColumn("real", F.lit(True))
     kids = seen.join(there, ["z", "x", "y"], "left").where("z > 0").select((z - 1).alias("z"), geo.shift_right(x, 1).alias("x"), geo.shift_right(y, 1).alias("y"), "visible_now", "state", (F.coalesce("real", F.lit(False)) | (z <= imagery_max_z)).alias("exists"))
     about = kids.groupBy("z", "x", "y").agg(
