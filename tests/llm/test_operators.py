@@ -91,6 +91,13 @@ def test_components_need_rounds_only_if_large(spark, monkeypatch):
     assert common.tables() > mark + 2 and {tuple(r) for r in by_rounds} == once and len(by_rounds) == len(once)
 
 
+def test_small_tables_are_few_files(spark):
+    rows = spark.range(0, 2500, 1, 50).repartition(40, "id")
+    few = written(common.in_files(rows, 2500, 1000), "few")
+    assert len(few.inputFiles()) <= 3 and few.count() == 2500 == few.distinct().count()
+    assert common.in_files(rows, 0).rdd.getNumPartitions() == 1
+
+
 # Packing -----------------------------------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import joined, mix64, small_batches, texts, written
+from tilewright.llm.common import in_files, joined, mix64, small_batches, texts, written
 from tilewright.llm.minhash import Forest, Hashes, after_prefix, as_bytes, candidate_components, prefix_keys, shortest_prefix, verified
 
 WORDS = 5
@@ -115,11 +115,12 @@ def _joined(rows: DataFrame, threshold: float, words: int, trees: int, target: f
     forest = Forest(threshold, trees, shortest_prefix(threshold, trees, target, LONGEST), LONGEST, target)
     rest = "".join(f", {c} {kind}" for c, kind in rows.dtypes if c not in ("doc_id", "text"))
     features = written(rows.mapInArrow(_features(words, forest), "doc_id long, node long, low long, keys array<long>, rest array<long>, sig binary, z binary" + rest), "join-features")
-    classes = written(features.groupBy("node", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "join-classes")
+    n = features.count()
+    classes = written(in_files(features.groupBy("node", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), n), "join-classes")
     tied = written(candidate_components(features.select("node", "keys", "rest", "sig"), LOW, COVER, forest), "join-candidates")
     chosen = joined(features.where("z is not null").select("node", "low", "z"), tied, ["node"]).dropDuplicates(["node", "low"])
     items = chosen.join(classes.select("node", "low", F.col("n").alias("weight")), ["node", "low"])
-    found = written(verified(items.select("root", "node", "low", "weight", "z"), WordShingles(words), threshold), "join-links")
+    found = written(in_files(verified(items.select("root", "node", "low", "weight", "z"), WordShingles(words), threshold), n), "join-links")
     named = classes.join(found, ["node", "low"])
     groups = named.groupBy("root").agg(F.min("first").alias("class_id"))
     linked = named.join(groups, "root").select("node", "low", "class_id", (F.col("n") - 1 + F.col("links")).alias("n_links"), F.lit(True).alias("linked"), "root", F.lit(0).cast("long").alias("of"))
